@@ -156,7 +156,7 @@ def shot_position_at(grid: DataFrame, shots: DataFrame, samples: DataFrame, on:
     k = F.when(b["t"] > a["t"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - a["t"]) / (b["t"] - a["t"])))).otherwise(0.0)
     pos = {c: a[c] + (b[c] - a[c]) * k for c in "xyz"}
     d = d.select(*on, "t", "shot_id", "mirrored", *[v.alias(c) for c, v in pos.items()])
-    return d.withColumn("x", F.when("mirrored", court_w - F.col("x")).otherwise(F.col("x"))).drop("mirrored")
+    return d.withColumn("x", F.when(F.col("mirrored"), court_w - F.col("x")).otherwise(F.col("x"))).drop("mirrored")
 
 
 def fill_unseen(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str], default: dict[str, float],

@@ -43,7 +43,7 @@ def split_shots(spark, sf):
     return segments.split_shots(load(spark, sf, "pts"), ["track_id"], gap=12, min_speed=1e-3, min_pts=3, tie=["pid"])
 
 
-@query("sharpest_turn", "WIN-7 FN-9", "rally_index:i points:i turn_index:i turn_cos:d", ctes("dense") + """,
+@query("sharpest_turn", "WIN-7 FN-9", "rally_index:i points:i turn_cos:d", ctes("dense") + """,
 a AS (SELECT rally_index, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS by_, row_number() OVER w - 1 AS i FROM dense
       WINDOW w AS (PARTITION BY rally_index ORDER BY t, pid)),
 c AS (SELECT rally_index, i, CASE WHEN sqrt(ax*ax+ay*ay) >= 1e-6 AND sqrt(bx*bx+by_*by_) >= 1e-6 THEN round((ax*bx+ay*by_) / (sqrt(ax*ax+ay*ay) * sqrt(bx*bx+by_*by_)), 9) END AS c FROM a)
