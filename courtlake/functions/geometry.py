@@ -13,6 +13,12 @@ NET_Y = COURT_L / 2
 OUT_W, OUT_H = 1080, 1920
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; without it nested formulas repeat their inputs and
+    outgrow generated code."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def court_project(h, x, y) -> Column:
     """FN-1: struct(u, v) in court metres; (0, 0) when the point is at infinity."""
     h, x, y = col(h), col(x), col(y)
@@ -28,36 +34,47 @@ def quad_homography(corners) -> Column:
     """FN-2: row-major image-to-court homography from four corners in the order far-left, far-right,
     near-right, near-left. Projective map of the unit square onto the quad, inverted by its
     adjugate and scaled to metres. Null for a degenerate quad."""
-    c = col(corners)
-    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = [(c[i][0], c[i][1]) for i in range(4)]
-    dx1, dx2, sx = x1 - x2, x3 - x2, x0 - x1 + x2 - x3
-    dy1, dy2, sy = y1 - y2, y3 - y2, y0 - y1 + y2 - y3
-    den = F.nullif(dx1 * dy2 - dx2 * dy1, F.lit(0.0))
-    g, k = (sx * dy2 - dx2 * sy) / den, (dx1 * sy - sx * dy1) / den
-    a, b, d, e = x1 - x0 + g * x1, x3 - x0 + k * x3, y1 - y0 + g * y1, y3 - y0 + k * y3
-    scale = F.nullif(a * e - b * d, F.lit(0.0))
-    rows = [
-        [COURT_W * (e - y0 * k), COURT_W * (x0 * k - b), COURT_W * (b * y0 - x0 * e)],
-        [COURT_L * (y0 * g - d), COURT_L * (a - x0 * g), COURT_L * (x0 * d - a * y0)],
-        [d * k - e * g, b * g - a * k, scale],
-    ]
-    h = F.array(*[v / scale for r in rows for v in r])
-    return F.when(den.isNotNull() & scale.isNotNull(), h)
+    def solve(q: Column) -> Column:
+        dx1, dx2, sx = q["x1"] - q["x2"], q["x3"] - q["x2"], q["x0"] - q["x1"] + q["x2"] - q["x3"]
+        dy1, dy2, sy = q["y1"] - q["y2"], q["y3"] - q["y2"], q["y0"] - q["y1"] + q["y2"] - q["y3"]
+        den = F.nullif(dx1 * dy2 - dx2 * dy1, F.lit(0.0))
+        return F.struct(q["x0"].alias("c"), q["y0"].alias("f"), q["x1"].alias("x1"), q["x3"].alias("x3"), q["y1"].alias("y1"), q["y3"].alias("y3"),
+                        ((sx * dy2 - dx2 * sy) / den).alias("g"), ((dx1 * sy - sx * dy1) / den).alias("k"))
+
+    def linear(m: Column) -> Column:
+        a, b = m["x1"] - m["c"] + m["g"] * m["x1"], m["x3"] - m["c"] + m["k"] * m["x3"]
+        d, e = m["y1"] - m["f"] + m["g"] * m["y1"], m["y3"] - m["f"] + m["k"] * m["y3"]
+        return F.struct(a.alias("a"), b.alias("b"), m["c"].alias("c"), d.alias("d"), e.alias("e"), m["f"].alias("f"), m["g"].alias("g"), m["k"].alias("k"))
+
+    def inverse(m: Column) -> Column:
+        a, b, c, d, e, f, g, k = (m[n] for n in "abcdefgk")
+        scale = F.nullif(a * e - b * d, F.lit(0.0))
+        rows = [[COURT_W * (e - f * k), COURT_W * (c * k - b), COURT_W * (b * f - c * e)],
+                [COURT_L * (f * g - d), COURT_L * (a - c * g), COURT_L * (c * d - a * f)],
+                [d * k - e * g, b * g - a * k, scale]]
+        h = F.array(*[v / scale for r in rows for v in r])
+        return F.when(scale.isNotNull() & g.isNotNull(), h)
+
+    q = col(corners)
+    quad = F.struct(*[q[i][j].alias(f"{n}{i}") for i in range(4) for j, n in enumerate("xy")])
+    return let(let(let(quad, solve), linear), inverse)
 
 
 def net_line(h) -> Column:
     """FN-6: image end points [x1, y1, x2, y2] of the net, from the inverse homography (adjugate)."""
-    h = col(h)
-    adj = [
-        h[4] * h[8] - h[5] * h[7], h[2] * h[7] - h[1] * h[8], h[1] * h[5] - h[2] * h[4],
-        h[5] * h[6] - h[3] * h[8], h[0] * h[8] - h[2] * h[6], h[2] * h[3] - h[0] * h[5],
-        h[3] * h[7] - h[4] * h[6], h[1] * h[6] - h[0] * h[7], h[0] * h[4] - h[1] * h[3],
-    ]
-    out = []
-    for u in (0.0, COURT_W):
-        x, y, w = (adj[3 * r] * u + adj[3 * r + 1] * NET_Y + adj[3 * r + 2] for r in range(3))
-        out += [x / F.nullif(w, F.lit(0.0)), y / F.nullif(w, F.lit(0.0))]
-    return F.array(*out)
+    def ends(h: Column) -> Column:
+        adj = [
+            h[4] * h[8] - h[5] * h[7], h[2] * h[7] - h[1] * h[8], h[1] * h[5] - h[2] * h[4],
+            h[5] * h[6] - h[3] * h[8], h[0] * h[8] - h[2] * h[6], h[2] * h[3] - h[0] * h[5],
+            h[3] * h[7] - h[4] * h[6], h[1] * h[6] - h[0] * h[7], h[0] * h[4] - h[1] * h[3],
+        ]
+        out = []
+        for u in (0.0, COURT_W):
+            x, y, w = (adj[3 * r] * u + adj[3 * r + 1] * NET_Y + adj[3 * r + 2] for r in range(3))
+            out += [x / F.nullif(w, F.lit(0.0)), y / F.nullif(w, F.lit(0.0))]
+        return F.array(*out)
+
+    return let(col(h), ends)
 
 
 def centroid(corners) -> tuple[Column, Column]:
@@ -108,12 +125,13 @@ def valid_quad(corners) -> Column:
 
 def valid_corners(corners, lo: float = -0.75, hi: float = 1.75, min_w: float = 0.15, min_h: float = 0.10) -> Column:
     """PRJ-4: user-drawn corners rounded to 4 places, or null when they cannot be a court."""
+    def judge(c: Column) -> Column:
+        span = [F.array_max(F.transform(c, field(a))) - F.array_min(F.transform(c, field(a))) for a in (0, 1)]
+        return F.when((span[0] >= min_w) & (span[1] >= min_h), c)
+
     c = col(corners)
-    rounded = F.transform(c, lambda p: F.array(F.bround(p[0], 4), F.bround(p[1], 4)))
-    within = F.forall(c, lambda p: p[0].between(lo, hi) & p[1].between(lo, hi))
-    span = [F.array_max(F.transform(rounded, field(a))) - F.array_min(F.transform(rounded, field(a)))
-            for a in (0, 1)]
-    return F.when((F.size(c) == 4) & within & (span[0] >= min_w) & (span[1] >= min_h), rounded)
+    within = (F.size(c) == 4) & F.forall(c, lambda p: p[0].between(lo, hi) & p[1].between(lo, hi))
+    return F.when(within, let(F.transform(c, lambda p: F.array(F.bround(p[0], 4), F.bround(p[1], 4))), judge))
 
 
 # -- boxes (FN-7, FN-8) ------------------------------------------------------------------------

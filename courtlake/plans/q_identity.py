@@ -101,7 +101,7 @@ def argmax_frame(spark, sf):
 {DETS},
 d AS (SELECT job_id, frame_no, t, det_id, CASE WHEN track_id <> 4 THEN track_id END AS track_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM dets),
 s AS (SELECT job_id, greatest(t - lag(t) OVER w, 1e-3) AS dt, cx - lag(cx) OVER w AS dx, cy - lag(cy) OVER w AS dy FROM d WHERE track_id IS NOT NULL WINDOW w AS (PARTITION BY job_id, track_id ORDER BY t, det_id)),
-g AS (SELECT job_id, count(dt) AS steps, count(*) FILTER (sqrt(dx*dx+dy*dy) > least(6e-1, 22e-2 + 28e-2 * greatest(0, dt - 25e-2))) AS bad FROM s GROUP BY 1),
+g AS (SELECT job_id, count(dx) AS steps, count(*) FILTER (sqrt(dx*dx+dy*dy) > least(6e-1, 22e-2 + 28e-2 * greatest(0, dt - 25e-2))) AS bad FROM s GROUP BY 1),
 c AS (SELECT job_id, count(*) AS total, count(track_id) AS with_id FROM d GROUP BY 1)
 SELECT job_id, total, with_id, steps, bad, with_id / total >= 6e-1 AND (steps < 10 OR bad / steps <= 15e-2) AS accepted FROM c JOIN g USING (job_id)""")
 def accept_worker_ids(spark, sf):
