@@ -315,14 +315,14 @@ def model_status(spark, sf):
 
 
 # -- bench --------------------------------------------------------------------------------------
-@query("shuttle_f1", "AGG-15 JOIN-6", "track_id:i precision:d recall:d f1:d tp:i n_pred:i n_visible:i", greedy_sql("visible") + f""",
+@query("shuttle_f1", "AGG-15 JOIN-6", "track_id:i precision:d recall:d f1:d tp:i n_pred:i n_visible:i", greedy_sql("visible", "5e-1") + f""",
 m AS (SELECT w.track_id, count(*) FILTER (sqrt(((p.x - g.x) * 512) * ((p.x - g.x) * 512) + ((p.y - g.y) * 288) * ((p.y - g.y) * 288)) <= 30) AS tp FROM greedy w JOIN pred p ON p.track_id = w.track_id AND p.id = w.pred_id JOIN gt g ON g.track_id = w.track_id AND g.id = w.gt_id GROUP BY 1),
 n AS (SELECT track_id, count(*) AS np, count(*) FILTER (visible) AS nv FROM gt GROUP BY 1),
 r AS (SELECT n.track_id, coalesce(tp, 0) AS tp, np, nv, coalesce(tp, 0) / np AS p, CASE WHEN nv > 0 THEN coalesce(tp, 0) / nv ELSE 0 END AS r FROM n LEFT JOIN m USING (track_id))
 SELECT track_id, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1, tp, np AS n_pred, nv AS n_visible FROM r""")
 def shuttle_f1(spark, sf):
     pred, gt = pred_and_gt(spark, sf)
-    return bm.shuttle_f1(pred, gt, T, tol_px=30, fps=0.25)
+    return bm.shuttle_f1(pred, gt, T, tol_px=30, fps=1.0)
 
 
 def labelled_boxes(spark, sf):
@@ -430,12 +430,12 @@ def gate_report(spark, sf):
 
 # -- audio --------------------------------------------------------------------------------------
 # Sound: one sample per point, numbered along a job's track; 40 samples a second.
-PCM = "pcm AS (SELECT track_id AS job_id, row_number() OVER (PARTITION BY track_id ORDER BY pid) - 1 AS i, cast(value * 50 AS BIGINT) % 32768 / 32768e0 AS s FROM pts)"
+PCM = "pcm AS (SELECT track_id AS job_id, row_number() OVER (PARTITION BY track_id ORDER BY pid) - 1 AS i, cast(floor(value * 50) AS BIGINT) % 32768 / 32768e0 AS s FROM pts)"
 
 
 def pcm(spark, sf):
     d = row_index(load(spark, sf, "pts"), T, "pid", out="i", tile=F.floor(F.col("pid") / 100000))
-    return d.selectExpr("track_id as job_id", "i", "cast(value * 50 as bigint) % 32768 / 32768e0 as s")
+    return d.selectExpr("track_id as job_id", "i", "cast(floor(value * 50) as bigint) % 32768 / 32768e0 as s")
 
 
 @query("rms_series", "AGG-19 FN-16", "job_id:i t:d db:d", ctes("pts") + f""",

@@ -1,5 +1,6 @@
 """Session defaults, and cutting a long lineage safely on a cluster."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,15 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf) ->
     return spark
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder every executor can reach: below the cluster's shared checkpoint folder, or a
+    private one where the session names none (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return tempfile.mkdtemp(prefix=f"courtlake-{name}-")
+    return f"{shared.rstrip('/')}/courtlake-{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the shared checkpoint folder, so lost executors never recompute the
     whole chain. The cluster names the folder in ``spark.checkpoint.dir``; only a session without
