@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, num
+from ..session import cut_lineage
 from .asof import bracket, fill_unseen
 from .intervals import events_in
 from .smoothing import hann
@@ -166,7 +167,8 @@ def follow_targets(grid: DataFrame, rallies: DataFrame, keys: Sequence[str] = RA
     y = F.when(seen_s & anchor & ~F.col("_led"), blend_y).when(seen_s, 0.5 * F.col("_sy") + 0.5 * 0.55).when(anchor, body[1])
     d = d.withColumns({"x": x, "y": y}).withColumns({"x": clamp(F.col("x"), hw, 1 - hw), "y": clamp(F.col("y"), hh, 1 - hh)})
     d = d.withColumns({c: F.when(x.isNotNull(), F.col(c)) for c in ("x", "y")})
-    d = with_totals(d.select(*keys, "frame_no", "x", "y", "z"), keys, _seen=F.avg(F.col("x").isNotNull().cast("double"))).filter(F.col("_seen") >= min_seen)
+    d = cut_lineage(d.select(*keys, "frame_no", "x", "y", "z"))          # filling and smoothing read it several times
+    d = with_totals(d, keys, _seen=F.avg(F.col("x").isNotNull().cast("double"))).filter(F.col("_seen") >= min_seen)
     d = fill_unseen(d.drop("_seen"), keys, "frame_no", ["x", "y"], {"x": 0.5, "y": 0.55})
     return hann(d, keys, "frame_no", ["x", "y"], win)
 

@@ -124,7 +124,7 @@ def corner_consensus(detections: DataFrame, samples: int = 5, model: DataFrame |
     g = corner_medians(ok, keys).filter((F.col("spread") <= max_spread) & valid_quad("corners")).select(*keys, F.col("corners").alias("_g"))
     d = cv.join(g, keys, "full")
     has_cv, has_g = F.col("corners").isNotNull(), F.col("_g").isNotNull()
-    mid = F.zip_with("corners", "_g", lambda a, b: F.zip_with(a, b, lambda p, q: F.round((p + q) / 2, 4)))
+    mid = F.zip_with("corners", "_g", lambda a, b: F.zip_with(a, b, lambda p, q: (p + q) / 2))
     sure = has_cv & (F.col("confidence") >= strong)
     return d.select(
         *keys, F.when(sure | ~has_g, F.col("corners")).when(has_cv, mid).otherwise(F.col("_g")).alias("corners"), "spread",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp
 from .folds import ordered_fold
-from .tiles import as_list, row_index, sessionize, with_totals
+from .tiles import as_list, row_index, sessionize
 
 FRAMES_PER_TILE = 4096
 
@@ -76,18 +76,20 @@ def hann(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str] | str,
     keys, cols = as_list(keys), as_list(cols)
     weights = hann_weights(win)
     half = len(weights) // 2
-    rank = F.struct(t, *tie)
-    d = with_totals(df, keys, **{f"_a_{c}": F.min_by(c, rank) for c in cols}, **{f"_z_{c}": F.max_by(c, rank) for c in cols})
 
     def make(w):
+        # with the halo a neighbour is missing only at a group's own ends, where the tile's end is the group's
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
         def mean(c):
-            terms = [(F.coalesce(F.lag(c, -j).over(w), F.col(f"_a_{c}" if j < 0 else f"_z_{c}")) if j else F.col(c)) * F.lit(weights[j + half])
+            ends = {True: F.first(c).over(whole), False: F.last(c).over(whole)}
+            terms = [(F.coalesce(F.lag(c, -j).over(w), ends[j < 0]) if j else F.col(c)) * F.lit(weights[j + half])
                      for j in range(-half, half + 1) if weights[j + half] > 0]
             return sum(terms[1:], terms[0])
 
         return {c: mean(c) for c in cols}
 
-    return _centred(d, keys, t, half, make, tie).drop(*[f"_{e}_{c}" for e in "az" for c in cols])
+    return _centred(df, keys, t, half, make, tie)
 
 
 def ema(df: DataFrame, keys: Sequence[str], t: str, col: str, alpha: float = 0.20, id: str = "pid") -> DataFrame:

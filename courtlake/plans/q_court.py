@@ -111,7 +111,7 @@ def _med_sql(src: str, out: str) -> str:
 {_med_sql('gm', 'g')},
 j AS (SELECT c.*, g.m0 AS g0, g.m5 AS g5, least(1, c.found / 900e0 * c.best * greatest(2e-1, 1 - c.spread * 12)) AS conf FROM c JOIN g USING (job_id)),
 k AS (SELECT *, round(conf, 3) AS cf FROM j)
-SELECT job_id, CASE WHEN cf >= 5e-1 THEN m0 ELSE round((m0 + g0) / 2, 4) END AS x0, CASE WHEN cf >= 5e-1 THEN m5 ELSE round((m5 + g5) / 2, 4) END AS y2, spread, CASE WHEN cf >= 5e-1 THEN cf ELSE greatest(cf, 65e-2) END AS confidence,
+SELECT job_id, CASE WHEN cf >= 5e-1 THEN m0 ELSE (m0 + g0) / 2 END AS x0, CASE WHEN cf >= 5e-1 THEN m5 ELSE (m5 + g5) / 2 END AS y2, spread, CASE WHEN cf >= 5e-1 THEN cf ELSE greatest(cf, 65e-2) END AS confidence,
   CASE WHEN cf >= 5e-1 THEN 'cv' ELSE 'cv+gemini' END AS source, 'ok' AS status FROM k""".replace("\n  CASE", " CASE"))
 def corner_consensus(spark, sf):
     d = court.corner_consensus(detections(spark, sf, 7, 0.0004), 900, detections(spark, sf, 11, 0.0002))

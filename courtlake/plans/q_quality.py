@@ -383,7 +383,7 @@ def d3_health(spark, sf):
     return bm.d3_health(s, one)
 
 
-D3 = """lab AS (SELECT job_id, shot_id AS label_id, t0 + ((shot_id * 7) % 13 - 6) / 2e1 AS t, CASE WHEN shot_id % 5 > 0 THEN speed_kmh * 11e-1 ELSE 0 END AS speed, CASE WHEN shot_id % 3 > 0 THEN b.x + 2e-1 END AS land_x, b.y AS land_y FROM gated JOIN ends USING (job_id, shot_id)),
+D3 = """lab AS (SELECT job_id, shot_id AS label_id, t0 + ((shot_id * 7) % 13 - 6) / 2e1 + 137e-5 AS t, CASE WHEN shot_id % 5 > 0 THEN speed_kmh * 11e-1 ELSE 0 END AS speed, CASE WHEN shot_id % 3 > 0 THEN b.x + 2e-1 END AS land_x, b.y AS land_y FROM gated JOIN ends USING (job_id, shot_id)),
 m AS (SELECT l.*, s.shot_id, s.speed_kmh AS sp, e.b.x AS lx, e.b.y AS ly, abs(s.t0 - l.t) AS dt FROM lab l JOIN gated s ON s.job_id = l.job_id AND abs(s.t0 - l.t) <= 4e-1 JOIN ends e ON e.job_id = s.job_id AND e.shot_id = s.shot_id QUALIFY row_number() OVER (PARTITION BY l.job_id, l.label_id ORDER BY round(abs(s.t0 - l.t), 9), s.t0, s.shot_id) = 1)"""
 
 
@@ -391,7 +391,7 @@ def d3_matched(spark, sf):
     s, one = gated(spark, sf)
     last = one.groupBy("job_id", "shot_id").agg(F.max_by(F.struct("x", "y"), "t").alias("b"))
     s = s.join(last, ["job_id", "shot_id"])
-    lab = s.selectExpr("job_id", "shot_id as label_id", "t0 + ((shot_id * 7) % 13 - 6) / 2e1 as t", "case when shot_id % 5 > 0 then speed_kmh * 11e-1 else 0 end as speed", "case when shot_id % 3 > 0 then b.x + 2e-1 end as land_x", "b.y as land_y")
+    lab = s.selectExpr("job_id", "shot_id as label_id", "t0 + ((shot_id * 7) % 13 - 6) / 2e1 + 137e-5 as t", "case when shot_id % 5 > 0 then speed_kmh * 11e-1 else 0 end as speed", "case when shot_id % 3 > 0 then b.x + 2e-1 end as land_x", "b.y as land_y")
     sh = s.selectExpr("job_id", "shot_id", "t0 as t", "speed_kmh", "b.x as last_x", "b.y as last_y")
     return bm.match_shots(sh, lab, ["job_id"])
 
