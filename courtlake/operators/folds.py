@@ -1,6 +1,6 @@
 """State machines over ordered groups, streamed row by row in bounded memory."""
 from collections.abc import Callable, Iterator, Sequence
-from itertools import groupby
+from itertools import chain, groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +9,44 @@ from pyspark.sql import types as T
 _FLUSH = 8192
 
 
+def tiled_fold(df: DataFrame, keys: Sequence[str], idx: str, summarize: Callable, advance: Callable, walk: Callable, start: Callable,
+               state: str, schema: str, cols: Sequence[str], size: int = 65536) -> DataFrame:
+    """A fold whose steps compose: each tile of ``size`` rows is reduced to what it does to any incoming
+    state (``summarize``), those few summaries are chained per group (``advance``), and the tiles are
+    walked in parallel from their true starting state. A long group is spread over its tiles.
+
+    ``idx`` is the 0-based row position; ``state`` the type of both the summary and the state, an
+    array<double>; ``start(first_row)`` gives the state before a group's first row."""
+    keys = list(keys)
+    d = df.withColumn("_tile", F.floor(F.col(idx) / size))
+    tile = [*keys, "_tile"]
+    cols = list(cols)
+
+    def reduce_tile(rows):
+        rows = iter(rows)
+        first = next(rows)
+        yield (list(start(first)), list(summarize(chain([first], rows))))
+
+    def chain_tiles(rows):
+        s = None
+        for t, begin, summary in rows:
+            s = list(begin) if s is None else s
+            yield t, s
+            s = list(advance(s, summary))
+
+    parts = ordered_fold(d, tile, [idx], reduce_tile, f"_begin {state}, _summary {state}", cols)
+    starts = ordered_fold(parts, keys, ["_tile"], chain_tiles, f"_tile long, _state {state}", ["_tile", "_begin", "_summary"])
+
+    def walk_tile(rows):
+        s = None
+        for *r, begin in rows:
+            s = list(begin) if s is None else s
+            s, out = walk(s, tuple(r))
+            yield out
+
+    return ordered_fold(d.join(starts, tile), tile, [idx], walk_tile, schema, [*cols, "_state"]).drop("_tile")
+
+
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence, fn: Callable[[Iterator[tuple]], Iterator[tuple]],
                  schema: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Run ``fn`` over each group's rows in order and return keys plus what it yields.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp
-from .folds import ordered_fold
+from .folds import ordered_fold, tiled_fold
 from .tiles import as_list, row_index, sessionize
 
 FRAMES_PER_TILE = 4096
@@ -93,16 +93,22 @@ def hann(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str] | str,
 
 
 def ema(df: DataFrame, keys: Sequence[str], t: str, col: str, alpha: float = 0.20, id: str = "pid") -> DataFrame:
-    """WIN-28: a += alpha * (x - a), starting at the first value."""
+    """WIN-28: a += alpha * (x - a), starting at the first value. A run of rows acts on ``a`` as a * p + q."""
+    keys = as_list(keys)
 
-    def walk(rows):
-        a = None
-        for rid, x in rows:
-            a = x if a is None else a + alpha * (x - a)
-            yield rid, a
+    def summarize(rows):
+        p, q = 1.0, 0.0
+        for _, x in rows:
+            p, q = p * (1 - alpha), q * (1 - alpha) + alpha * x
+        return p, q
 
-    out = ordered_fold(df, as_list(keys), [t, id], walk, f"{id} long, {col}_ema double", [id, col])
-    return df.join(out, [*as_list(keys), id])
+    def walk(s, r):
+        a = s[0] + alpha * (r[1] - s[0])
+        return [a], (r[0], a)
+
+    d = row_index(df.select(*keys, t, id, col), keys, t, tie=[id], out="_i")
+    out = tiled_fold(d, keys, "_i", summarize, lambda s, f: [s[0] * f[0] + f[1]], walk, lambda r: [r[1]], "array<double>", f"{id} long, {col}_ema double", [id, col])
+    return df.join(out, [*keys, id])
 
 
 def rate_limit(df: DataFrame, keys: Sequence[str], t: str, col: str, step: float, id: str = "pid") -> DataFrame:
@@ -119,34 +125,58 @@ def rate_limit(df: DataFrame, keys: Sequence[str], t: str, col: str, step: float
 
 
 def ramp(df: DataFrame, keys: Sequence[str], t: str, flag: str, step: float = 0.12, id: str = "pid") -> DataFrame:
-    """WIN-33: a 0..1 ramp that rises while ``flag`` holds and falls otherwise; 0 on the first row."""
+    """WIN-33: a 0..1 ramp that rises while ``flag`` holds and falls otherwise; 0 on the first row. A run of rows
+    acts as clamp(r + c, lo, hi)."""
+    keys = as_list(keys)
 
-    def walk(rows):
-        r = None
-        for rid, on in rows:
-            r = 0.0 if r is None else (min(1.0, r + step) if on else max(0.0, r - step))
-            yield rid, r
+    def bounded(f, on):
+        c, lo, hi = f
+        if on:
+            return c + step, min(1.0, lo + step), min(1.0, hi + step)
+        return c - step, max(0.0, lo - step), max(0.0, hi - step)
 
-    out = ordered_fold(df, as_list(keys), [t, id], walk, f"{id} long, ramp double", [id, flag])
-    return df.join(out, [*as_list(keys), id])
+    def summarize(rows):
+        f = (0.0, 0.0, 1.0)
+        for _, on in rows:
+            f = bounded(f, on)
+        return f
+
+    def walk(s, r):
+        v = max(0.0, min(1.0, s[0] + (step if r[1] else -step)))
+        return [v], (r[0], v)
+
+    d = row_index(df.select(*keys, t, id, flag), keys, t, tie=[id], out="_i")
+    # the first row shows 0 whatever its flag: start one step below or above it
+    out = tiled_fold(d.withColumn(flag, F.when(F.col("_i") == 0, F.lit(False)).otherwise(F.col(flag))), keys, "_i", summarize,
+                     lambda s, f: [max(f[1], min(f[2], s[0] + f[0]))], walk, lambda r: [0.0], "array<double>", f"{id} long, ramp double", [id, flag])
+    return df.join(out, [*keys, id])
 
 
 def switch_active(df: DataFrame, keys: Sequence[str], t: str, a: str, b: str, ratio: float = 1.35, frames: int = 6, id: str = "pid") -> DataFrame:
-    """WIN-33: the busier of two players, changing only after ``frames`` clearly busier rows in a row."""
+    """WIN-33: the busier of two players, changing only after ``frames`` clearly busier rows in a row. The state is
+    one of 2 * frames values, so a run of rows acts as a table from state to state."""
+    keys = as_list(keys)
 
-    def walk(rows):
-        cur, run = None, 0
-        for rid, ea, eb in rows:
-            if cur is None:
-                cur = 0 if ea >= eb else 1
-            mine, other = (ea, eb) if cur == 0 else (eb, ea)
-            run = run + 1 if other > ratio * mine else 0
-            if run >= frames:
-                cur, run = 1 - cur, 0
-            yield rid, cur
-
-    out = ordered_fold(df, as_list(keys), [t, id], walk, f"{id} long, active int", [id, a, b])
-    return df.join(out, [*as_list(keys), id])
+    def move(s, ea, eb):
+        cur, run = divmod(int(s), frames)
+        mine, other = (ea, eb) if cur == 0 else (eb, ea)
+        run = run + 1 if other > ratio * mine else 0
+        return (1 - cur) * frames if run >= frames else cur * frames + run
+
+    def summarize(rows):
+        table = list(range(2 * frames))
+        for _, ea, eb in rows:
+            table = [move(s, ea, eb) for s in table]
+        return [float(s) for s in table]
+
+    def walk(s, r):
+        n = move(s[0], r[1], r[2])
+        return [float(n)], (r[0], n // frames)
+
+    d = row_index(df.select(*keys, t, id, a, b), keys, t, tie=[id], out="_i")
+    out = tiled_fold(d, keys, "_i", summarize, lambda s, f: [f[int(s[0])]], walk, lambda r: [0.0 if r[1] >= r[2] else float(frames)], "array<double>",
+                     f"{id} long, active int", [id, a, b])
+    return df.join(out, [*keys, id])
 
 
 def _shift(d: DataFrame, cw: float, ch: float, pad: float, soft: bool) -> DataFrame:

@@ -182,12 +182,13 @@ def scaled_series(profile: DataFrame, value: str, keys: Sequence[str] = ("studen
 
 
 def school_overview(jobs: DataFrame, assign: DataFrame, users: DataFrame, limit: int = 120) -> DataFrame:
-    """AGG-13: newest ``limit`` sessions per school with their assignee count and names. Names are joined as rows
-    and only the listed sessions' (at most ``limit`` per school) are put in a list."""
+    """AGG-13: newest ``limit`` sessions per school, a row per assignee (one row without any) and their count. The
+    assignees stay rows: a session shared by very many students is joined, never gathered."""
     listed = top_n(jobs, ["school_id"], [F.desc("created_at"), F.asc("job_id")], limit, out="_rn").drop("_rn")
     who = assignees(assign, users).join(listed.select("job_id"), "job_id", "left_semi")
-    names = who.groupBy("job_id").agg(F.count("*").alias("n_assignees"), F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("assignees"))
-    return listed.join(names, "job_id", "left").withColumns({"n_assignees": F.coalesce("n_assignees", F.lit(0)), "assignees": F.coalesce("assignees", F.lit(""))})
+    n = who.groupBy("job_id").agg(F.count("*").alias("n_assignees"))
+    out = listed.join(n, "job_id", "left").withColumn("n_assignees", F.coalesce("n_assignees", F.lit(0)))
+    return out.join(who.withColumnRenamed("name", "assignee"), "job_id", "left")
 
 
 def visible_codes(schools: DataFrame, viewers: DataFrame) -> DataFrame:

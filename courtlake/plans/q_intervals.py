@@ -90,8 +90,8 @@ def mark_selected(spark, sf):
 
 
 @query("refine_with_audio", "WIN-13", "job_id:i start_s:d end_s:d note:s audio_hits:i", ctes("rallies", "peaks") + """,
-r5 AS (SELECT job_id % 5 AS job_id, rally_id, start_s, end_s, note FROM rallies),
-p5 AS (SELECT job_id % 5 AS job_id, peak_id, t FROM peaks),
+r5 AS (SELECT job_id // 20 AS job_id, rally_id, start_s, end_s, note FROM rallies),
+p5 AS (SELECT job_id // 20 AS job_id, peak_id, t FROM peaks),
 sus AS (SELECT job_id FROM (SELECT job_id, sum(end_s - start_s) AS play FROM r5 GROUP BY 1) JOIN (SELECT job_id, count(*) AS n FROM p5 GROUP BY 1) USING (job_id)
         WHERE n >= 10 AND play / 3600e0 > 0.7),
 hit AS (SELECT r.*, p.t, p.peak_id FROM r5 r JOIN sus USING (job_id) JOIN p5 p ON p.job_id = r.job_id AND p.t BETWEEN r.start_s - 0.5 AND r.end_s + 0.5),
@@ -103,7 +103,7 @@ ok AS (SELECT * FROM ref WHERE end_s - start_s >= 3)
 SELECT * FROM ok UNION ALL
   SELECT job_id, start_s, end_s, note, NULL FROM r5 WHERE job_id NOT IN (SELECT job_id FROM ok)""")
 def refine_with_audio(spark, sf):
-    r, p = (load(spark, sf, n).withColumn("job_id", F.col("job_id") % 5) for n in ("rallies", "peaks"))
+    r, p = (load(spark, sf, n).withColumn("job_id", F.floor(F.col("job_id") / 20)) for n in ("rallies", "peaks"))
     d = r.select("job_id").distinct().withColumn("duration", F.lit(3600.0))
     return iv.refine_with_audio(r.select("job_id", "rally_id", "start_s", "end_s", "note"), p, d)
 

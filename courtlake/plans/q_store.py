@@ -91,14 +91,14 @@ def roster(spark, sf):
     return store.roster(m.drop("name", "bal"), m.select("user_id", "name"), "student")
 
 
-# Assignments: each lineitem's order is a session given to a customer.
-ASSIGN = "assign AS (SELECT DISTINCT l_orderkey AS job_id, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM customer) AS student_id, cast(l_linenumber % 4 AS BIGINT) AS player_id FROM lineitem)"
+# Assignments: each line gives its order's session to the customer of another order.
+ASSIGN = "assign AS (SELECT DISTINCT l.l_orderkey AS job_id, o.o_custkey AS student_id, cast(l.l_linenumber % 4 AS BIGINT) AS player_id FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_partkey)"
 
 
 def assign(spark, sf):
-    n = table(spark, sf, "customer").agg(F.count("*").alias("n"))
-    return table(spark, sf, "lineitem").join(F.broadcast(n)).selectExpr(   # one row: the number of users
-        "l_orderkey as job_id", "(l_partkey * 7 + l_suppkey) % n as student_id", "cast(l_linenumber % 4 as bigint) as player_id").distinct()
+    who = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_partkey"), "o_custkey")
+    return table(spark, sf, "lineitem").join(who, "l_partkey").selectExpr(
+        "l_orderkey as job_id", "o_custkey as student_id", "cast(l_linenumber % 4 as bigint) as player_id").distinct()
 
 
 @query("student_sessions", "JOIN-12", "student_id:i job_id:i player_id:i created_at:i", ctes("jobs") + f""",
@@ -240,11 +240,11 @@ def student_trend(spark, sf):
     return store.scaled_series(profile(spark, sf), "longest_rally")
 
 
-@query("school_overview", "AGG-13", "school_id:i job_id:i n_assignees:i assignees:s", ctes("jobs", "members") + f""",
+@query("school_overview", "AGG-13", "school_id:i job_id:i n_assignees:i student_id:i assignee:s player_id:i", ctes("jobs", "members") + f""",
 {ASSIGN},
 l AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY school_id ORDER BY created_at DESC, job_id) <= 120),
-w AS (SELECT a.job_id, count(*) AS n, list_sort(list(DISTINCT m.name)) AS names FROM assign a JOIN members m ON m.user_id = a.student_id GROUP BY 1)
-SELECT l.school_id, l.job_id, coalesce(w.n, 0) AS n_assignees, coalesce(array_to_string(w.names, ', '), '') AS assignees FROM l LEFT JOIN w USING (job_id)""")
+w AS (SELECT a.job_id, a.student_id, a.player_id, m.name, count(*) OVER (PARTITION BY a.job_id) AS n FROM assign a JOIN members m ON m.user_id = a.student_id)
+SELECT l.school_id, l.job_id, coalesce(w.n, 0) AS n_assignees, w.student_id, w.name AS assignee, w.player_id FROM l LEFT JOIN w USING (job_id)""")
 def school_overview(spark, sf):
     return store.school_overview(load(spark, sf, "jobs"), assign(spark, sf), load(spark, sf, "members"))
 
