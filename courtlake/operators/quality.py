@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import NET_Y
 from ..functions.scalar import basename, clamp, clamp01, short_text
+from ..session import cut_lineage
 from .folds import ordered_fold
 from .tiles import as_list, quantiles, tile_scan, top_n, with_totals
 
@@ -159,6 +160,7 @@ def jerk_audit(shifts: DataFrame, cuts: DataFrame, keys: Sequence[str] = ("clip_
     d = tile_scan(shifts, keys, "frame_no", prev={"_p": F.struct("dx", "dy")}, tile=F.floor(F.col("frame_no") / 20000))
     d = d.filter("_p is not null").select(*keys, "frame_no", (F.col("frame_no") / fps).alias("t"),
                                           F.greatest(F.abs(F.col("dx") - F.col("_p.dx")), F.abs(F.col("dy") - F.col("_p.dy"))).alias("jerk"))
+    d = cut_lineage(d)                                 # one narrow row per frame, read several times below
     spans = cuts.select(*keys, F.col("t").alias("_c")).withColumns({"_lo": F.col("_c") - near, "_hi": F.col("_c") + near})
     hit = events_in(spans, d.select(*keys, "frame_no", "t"), keys, start="_lo", end="_hi").filter(F.abs(F.col("t") - F.col("_c")) < near)
     d = d.join(hit.select(*keys, "frame_no").distinct().withColumn("_cut", F.lit(True)), [*keys, "frame_no"], "left")

@@ -39,6 +39,7 @@ def tile_scan(
     prev: Mapping[str, Column] | None = None,
     nxt: Mapping[str, Column] | None = None,
     csum: Mapping[str, Column] | None = None,
+    total: Mapping[str, Column] | None = None,
     cmax: Mapping[str, Column] | None = None,
     ffill: Mapping[str, Column] | None = None,
     bfill: Mapping[str, Column] | None = None,
@@ -51,13 +52,14 @@ def tile_scan(
 
     prev / nxt   value on the neighbouring row
     csum         running sum, this row included
+    total        sum over the whole group
     cmax         running maximum of the rows before this one
     ffill/bfill  last / next non-null value, this row included
     breaks       ``breaks(cur, prev)`` says whether a row starts a new segment; ``seg`` counts them
                  from 0. ``break_on`` lists the columns it reads.
     """
     keys, tie, break_on = as_list(keys), as_list(tie), as_list(break_on)
-    prev, nxt, csum, cmax = prev or {}, nxt or {}, csum or {}, cmax or {}
+    prev, nxt, csum, cmax, total = prev or {}, nxt or {}, csum or {}, cmax or {}, total or {}
     ffill, bfill = ffill or {}, bfill or {}
     before = df.columns
     d = df.withColumn("_tile", time_tile(t) if tile is None else tile)
@@ -69,7 +71,7 @@ def tile_scan(
     past = w.rowsBetween(Window.unboundedPreceding, -1)
 
     d = d.withColumns({
-        **{f"_v_{o}": c for m in (prev, nxt, csum, cmax, ffill, bfill) for o, c in m.items()},
+        **{f"_v_{o}": c for m in (prev, nxt, csum, total, cmax, ffill, bfill) for o, c in m.items()},
         **({"_b": F.struct(*break_on)} if breaks else {}),
     })
     local = {f"_l_{o}": F.lag(F.struct(f"_v_{o}")).over(w) for o in prev}
@@ -91,7 +93,7 @@ def tile_scan(
 
     agg = {f"_s_{o}": F.max_by(F.struct(f"_v_{o}"), rank) for o in prev}
     agg |= {f"_s_{o}": F.min_by(F.struct(f"_v_{o}"), rank) for o in nxt}
-    agg |= {f"_s_{o}": F.sum(f"_v_{o}") for o in csum}
+    agg |= {f"_s_{o}": F.sum(f"_v_{o}") for o in [*csum, *total]}
     agg |= {f"_s_{o}": F.max(f"_v_{o}") for o in cmax}
     agg |= {f"_s_{o}": F.max_by(f"_v_{o}", F.when(F.col(f"_v_{o}").isNotNull(), rank)) for o in ffill}
     agg |= {f"_s_{o}": F.min_by(f"_v_{o}", F.when(F.col(f"_v_{o}").isNotNull(), rank)) for o in bfill}
@@ -105,6 +107,7 @@ def tile_scan(
     carry = {f"_c_{o}": F.lag(f"_s_{o}").over(ws) for o in prev}
     carry |= {f"_c_{o}": F.lead(f"_s_{o}").over(ws) for o in nxt}
     carry |= {f"_c_{o}": F.sum(f"_s_{o}").over(s_past) for o in csum}
+    carry |= {f"_c_{o}": F.sum(f"_s_{o}").over(Window.partitionBy(*keys)) for o in total}
     carry |= {f"_c_{o}": F.max(f"_s_{o}").over(s_past) for o in cmax}
     carry |= {f"_c_{o}": F.last(f"_s_{o}", True).over(s_past) for o in ffill}
     carry |= {f"_c_{o}": F.first(f"_s_{o}", True).over(s_next) for o in bfill}
@@ -120,6 +123,7 @@ def tile_scan(
     d = d.withColumns(local).join(s, [*keys, "_tile"])
     out = {o: F.coalesce(f"_l_{o}", f"_c_{o}")[f"_v_{o}"] for m in (prev, nxt) for o in m}
     out |= {o: F.coalesce(f"_l_{o}", F.lit(0)) + F.coalesce(f"_c_{o}", F.lit(0)) for o in csum}
+    out |= {o: F.col(f"_c_{o}") for o in total}
     out |= {o: F.greatest(f"_l_{o}", f"_c_{o}") for o in cmax}
     out |= {o: F.coalesce(f"_l_{o}", f"_c_{o}") for m in (ffill, bfill) for o in m}
     if breaks:
@@ -161,8 +165,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, specs: Mapping[str
     """
     keys = as_list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_q")).agg(F.count("*").alias("_n"))
-    ranked = tile_scan(counts, keys, "_q", csum={"_cum": F.col("_n")}, tile=value_tile("_q"))
-    ranked = with_totals(ranked, keys, _tot=F.sum("_n"))
+    ranked = tile_scan(counts, keys, "_q", csum={"_cum": F.col("_n")}, total={"_tot": F.col("_n")}, tile=value_tile("_q"))
 
     def at(pos: Column) -> Column:
         return F.max(F.when((F.col("_cum") - F.col("_n") <= pos) & (pos < F.col("_cum")), F.col("_q")))
