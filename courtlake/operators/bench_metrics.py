@@ -4,6 +4,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .asof import greedy_match, nearest_time
 from .tiles import as_list, quantiles, tile_scan, with_totals
 
@@ -111,6 +112,7 @@ def d3_error(matched: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame
     d = matched.withColumns({
         "_land": F.when(F.col("land_x").isNotNull(), F.hypot(F.col("r_last_x") - F.col("land_x"), F.col("r_last_y") - F.col("land_y"))),
         "_ape": F.when(F.col("speed") != 0, F.abs(F.col("r_speed_kmh") - F.col("speed")) / F.greatest(F.col("speed"), F.lit(1e-6)))})
+    d = cut_lineage(d.select(*keys, "_land", "_ape"))       # a row per label, read three times
     g = d.groupBy(*keys).agg(F.avg("_ape").alias("speed_mape"), F.count("_ape").alias("_a"), F.count("_land").alias("_l"))
     return g.join(quantiles(d, keys, "_land", {"landing_median_m": "upper"}), keys, "left").select(
         *keys, "landing_median_m", "speed_mape", F.coalesce(F.nullif("_a", F.lit(0)), "_l").alias("matched"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audio, bench_metrics as bm, quality as q, report
 from ..operators.tiles import row_index
+from ..session import cut_lineage
 from .adapters import ctes, load, table
 from .q_asof import greedy_sql, one_sample_per_time, ONE, pred_and_gt
 from .registry import query
@@ -390,7 +391,7 @@ m AS (SELECT l.*, s.shot_id, s.speed_kmh AS sp, e.b.x AS lx, e.b.y AS ly, abs(s.
 def d3_matched(spark, sf):
     s, one = gated(spark, sf)
     last = one.groupBy("job_id", "shot_id").agg(F.max_by(F.struct("x", "y"), "t").alias("b"))
-    s = s.join(last, ["job_id", "shot_id"])
+    s = cut_lineage(s.join(last, ["job_id", "shot_id"]).select("job_id", "shot_id", "t0", "speed_kmh", "b"))    # both sides of the match
     lab = s.selectExpr("job_id", "shot_id as label_id", "t0 + ((shot_id * 7) % 13 - 6) / 2e1 + 137e-5 as t", "case when shot_id % 5 > 0 then speed_kmh * 11e-1 else 0 end as speed", "case when shot_id % 3 > 0 then b.x + 2e-1 end as land_x", "b.y as land_y")
     sh = s.selectExpr("job_id", "shot_id", "t0 as t", "speed_kmh", "b.x as last_x", "b.y as last_y")
     return bm.match_shots(sh, lab, ["job_id"])
