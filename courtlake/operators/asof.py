@@ -169,7 +169,7 @@ def fill_unseen(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str],
 
 def nearest_center(pred: DataFrame, gt: DataFrame, on: Sequence[str], max_dist: float, pred_id: str = "id", gt_id: str = "gt_id") -> DataFrame:
     """JOIN-7: per labelled box the closest predicted box of the same frame; ties go to the later one.
-    A frame holds a handful of boxes, so pairing inside (keys, frame) stays an equality join."""
+    Detections are capped per frame where payloads are read (six boxes), so pairing inside (keys, frame) stays small."""
     on = as_list(on)
     p = pred.select(*on, F.col(pred_id).alias("_pid"), F.struct("*").alias("p"))
     d = gt.join(p, on).withColumn("dist", F.hypot(F.col("p.x") - F.col("x"), F.col("p.y") - F.col("y"))).filter(F.col("dist") <= max_dist)

@@ -24,7 +24,7 @@ def time_tile(t: str, width: float = TILE_S) -> Column:
     return F.floor(F.col(t) / F.lit(float(width)))
 
 
-def value_tile(v: str, per_octave: int = 16) -> Column:
+def value_tile(v: str, per_octave: int = 256) -> Column:
     """Monotone tiles for values of unknown range: equal steps in log2(1 + |v|)."""
     c = F.col(v).cast("double")
     return F.floor(F.signum(c) * F.log2(F.lit(1.0) + F.abs(c)) * F.lit(float(per_octave)))

@@ -39,7 +39,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     one (a test) gets a private folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="courtlake-ckpt-"))
     return df.checkpoint(eager=True)

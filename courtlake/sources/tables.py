@@ -1,9 +1,11 @@
 """Track tables, CSV tracks, sound chunks, the job store and the report sink."""
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp01, num, parse_clock, unfence_json
 from ..operators.intervals import clean_rallies
+from ..session import cut_lineage
 
 STORE = ("jobs", "users", "schools", "memberships", "auth_sessions", "job_students")
 CSV_SCHEMA = "Frame string, Visibility string, X string, Y string"
@@ -69,15 +71,14 @@ def write_reports(df: DataFrame, path: str, schema_tag: str, refresh: bool = Fal
     the kept reports of a touched bucket are written again with the new ones."""
     spark = df.sparkSession
     new = df.withColumns({"schema_tag": F.lit(schema_tag), "job_bucket": F.pmod(F.hash(key), F.lit(buckets))})
-    hconf = spark._jsparkSession.sessionState().newHadoopConf()
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(hconf).exists(p):
+    try:
         old = spark.read.schema(new.schema).json(path)
+    except AnalysisException:                     # nothing written yet
+        old = None
+    if old is not None:
         fresh = old.filter(F.col("schema_tag") == schema_tag)
         todo = new if refresh else new.join(fresh.select(key), key, "left_anti")
         keep = fresh.join(todo.select("job_bucket").distinct(), "job_bucket", "left_semi").join(todo.select(key), key, "left_anti")
-        from ..session import cut_lineage
-
         todo, keep = cut_lineage(todo), cut_lineage(keep.select(*new.columns))     # the read below must not see its own overwrite
         out = todo.unionByName(keep)
     else:
