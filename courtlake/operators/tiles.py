@@ -10,20 +10,31 @@ Keys and the order column must not be null.
 """
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TILE_S = 900.0
+TILE_CONF, TILE_S = "courtlake.tile.seconds", 10.0
 
 
 def as_list(x) -> list:
     return [x] if isinstance(x, str) else list(x)
 
 
-def time_tile(t: str, width: float = TILE_S) -> Column:
+def time_tile(t: str, width: float | None = None) -> Column:
+    """Tiles of ``width`` seconds; by default of the session's ``courtlake.tile.seconds`` (10: some 300 rows of a
+    30 Hz track). Denser data wants a smaller value, see :func:`tile_seconds`."""
+    if width is None:
+        width = float(SparkSession.active().conf.get(TILE_CONF, str(TILE_S)))
     return F.floor(F.col(t) / F.lit(float(width)))
 
 
+def tile_seconds(df: DataFrame, keys: Sequence[str], t: str, rows: int = 1_000_000) -> float:
+    """Tile width that gives the densest key about ``rows`` rows a tile: one narrow, map-side combined pass."""
+    per = df.groupBy(*as_list(keys)).agg(F.count("*").alias("n"), (F.max(t) - F.min(t)).alias("span"))
+    w = per.agg(F.min(F.when(F.col("n") > rows, F.col("span") * rows / F.col("n"))).alias("w")).first()["w"]
+    return TILE_S if w is None or w <= 0 else float(w)
+
+
 def value_tile(v: str, per_octave: int = 256) -> Column:
     """Monotone tiles for values of unknown range: equal steps in log2(1 + |v|)."""
     c = F.col(v).cast("double")
@@ -67,7 +78,8 @@ def tile_scan(
     rank = F.struct(*order)
     w = Window.partitionBy(*keys, "_tile").orderBy(*order)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    fore = w.rowsBetween(0, Window.unboundedFollowing)
+    # looking ahead runs over the reversed order: a frame that ends at UNBOUNDED FOLLOWING costs Spark a pass per row
+    ahead = Window.partitionBy(*keys, "_tile").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
 
     d = d.withColumns({
@@ -79,7 +91,7 @@ def tile_scan(
     local |= {f"_l_{o}": F.sum(f"_v_{o}").over(back) for o in csum}
     local |= {f"_l_{o}": F.max(f"_v_{o}").over(past) for o in cmax}
     local |= {f"_l_{o}": F.last(f"_v_{o}", True).over(back) for o in ffill}
-    local |= {f"_l_{o}": F.first(f"_v_{o}", True).over(fore) for o in bfill}
+    local |= {f"_l_{o}": F.last(f"_v_{o}", True).over(ahead) for o in bfill}
     summed = d
     if breaks:
         flagged = d.withColumn("_bp", F.lag("_b").over(w)).withColumn(
@@ -103,14 +115,14 @@ def tile_scan(
 
     ws = Window.partitionBy(*keys).orderBy("_tile")
     s_past = ws.rowsBetween(Window.unboundedPreceding, -1)
-    s_next = ws.rowsBetween(1, Window.unboundedFollowing)
+    s_next = Window.partitionBy(*keys).orderBy(F.desc("_tile")).rowsBetween(Window.unboundedPreceding, -1)
     carry = {f"_c_{o}": F.lag(f"_s_{o}").over(ws) for o in prev}
     carry |= {f"_c_{o}": F.lead(f"_s_{o}").over(ws) for o in nxt}
     carry |= {f"_c_{o}": F.sum(f"_s_{o}").over(s_past) for o in csum}
     carry |= {f"_c_{o}": F.sum(f"_s_{o}").over(Window.partitionBy(*keys)) for o in total}
     carry |= {f"_c_{o}": F.max(f"_s_{o}").over(s_past) for o in cmax}
     carry |= {f"_c_{o}": F.last(f"_s_{o}", True).over(s_past) for o in ffill}
-    carry |= {f"_c_{o}": F.first(f"_s_{o}", True).over(s_next) for o in bfill}
+    carry |= {f"_c_{o}": F.last(f"_s_{o}", True).over(s_next) for o in bfill}
     if breaks:
         s = s.withColumn("_bc", F.lag("_bl").over(ws)).withColumn(
             "_first",

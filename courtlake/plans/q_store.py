@@ -180,12 +180,12 @@ def union_pool(spark, sf):
     return store.union_pool(pool, now, ["job_id", "rally_id"])
 
 
-@query("usage_cost", "AGG-10", "conv_id:i prompt_tokens:i output_tokens:i calls:i cost_usd:d", ctes("texts") + """
+@query("usage_cost", "AGG-10", "conv_id:i prompt_tokens:i output_tokens:i calls:i cost_micro_usd:d", ctes("texts") + """
 SELECT conv_id, sum(CASE WHEN role = 'user' THEN n_chars ELSE 0 END) AS prompt_tokens, sum(CASE WHEN role = 'user' THEN 0 ELSE n_chars END) AS output_tokens, count(*) AS calls,
-  sum(CASE WHEN role = 'user' THEN n_chars ELSE 0 END) / 1e6 * 0.30::DOUBLE + sum(CASE WHEN role = 'user' THEN 0 ELSE n_chars END) / 1e6 * 2.50::DOUBLE AS cost_usd FROM texts GROUP BY 1""")
+  1e6 * (sum(CASE WHEN role = 'user' THEN n_chars ELSE 0 END) / 1e6 * 0.30::DOUBLE + sum(CASE WHEN role = 'user' THEN 0 ELSE n_chars END) / 1e6 * 2.50::DOUBLE) AS cost_micro_usd FROM texts GROUP BY 1""")
 def usage_cost(spark, sf):
     c = load(spark, sf, "texts").selectExpr("conv_id", "if(role = 'user', n_chars, 0) as prompt_tokens", "if(role = 'user', 0, n_chars) as output_tokens")
-    return store.usage_cost(c, key="conv_id")
+    return store.usage_cost(c, key="conv_id").withColumn("cost_micro_usd", F.col("cost_usd") * 1e6)
 
 
 def session_parts(spark, sf):
