@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, pii, quality
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -24,3 +24,16 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judge(decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=4))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near"))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, name = quality.judge(table(spark, sf_dir, "documents"), keep_cols=["doc_id"])
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed"]
+    return judged.select("doc_id", *[F.col(name)[f].alias(f) for f in fields], F.round(F.col(name)["host_rate"], 6).alias("host_rate"))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.size(pii.only([k])).cast("long").alias(f"n_{k}") for k in pii.BASE], F.sha2(pii.joined(pii.only(pii.BASE)), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
