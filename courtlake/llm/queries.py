@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality
+from . import decontaminate, linededup, pii, quality
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -33,6 +33,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(name)[f].alias(f) for f in fields], F.round(F.col(name)["host_rate"], 6).alias("host_rate"))
 
 
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned, removed = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.col(removed).alias("n_removed"), F.length("text").alias("n_chars"), "text")
+
+
 @query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
