@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linededup, pii, quality
+from . import decontaminate, jaccard, linededup, packing, pii, quality
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -38,6 +38,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(name)[f].alias(f) for f in fields], F.round(F.col(name)["host_rate"], 6).alias("host_rate"))
 
 
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 @query("op8_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned, removed = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
