@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linededup, packing, pii, quality
+from . import decontaminate, jaccard, licenses, linededup, packing, pii, quality
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -31,6 +31,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).drop("row")
 
 
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = F.col(name)
+    return found.select("doc_id", *[c[f].alias(f) for f in ("n_words", "n_base", "first_word", "last_word")], *[F.array_join(c[f], ",").alias(f) for f in ("base_labels", "labels")], c["score"].alias("score"))
+
+
 @query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, name = quality.judge(table(spark, sf_dir, "documents"), keep_cols=["doc_id"])
