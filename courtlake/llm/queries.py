@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, linededup, packing, pii, quality
+from . import classifier, decontaminate, jaccard, licenses, linededup, packing, pii, quality
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -56,6 +56,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.col(removed).alias("n_removed"), F.length("text").alias("n_chars"), "text")
 
 
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *[F.round(c, 6).alias(c) for c in ("d_toxic", "p_toxic", "d_bad", "p_bad")], "toxic", "kept")
+
+
 @query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
