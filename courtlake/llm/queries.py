@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, jaccard, licenses, linededup, packing, pii, quality
+from . import classifier, crossentropy, decontaminate, jaccard, licenses, linededup, packing, pii, quality
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -50,6 +50,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = crossentropy.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
 @query("op8_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned, removed = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
