@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, crossentropy, decontaminate, jaccard, licenses, linededup, packing, pii, quality
+from . import classifier, crossentropy, decontaminate, jaccard, licenses, linededup, packing, pii, quality, toolcalls
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -50,6 +50,29 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+#: The tools that stand in for the table's own, as it has none.
+TOOLS = {
+    "search": {"limit": ("BIGINT", True), "text": ("STRING", True)},
+    "summarize": {"max_words": ("BIGINT", False), "text": ("STRING", True)},
+    "translate": {"lang": ("STRING", True), "text": ("STRING", True)},
+}
+
+
+@query("op5_tool_calls")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn is a call on its whole text, each user turn behind it the result. The tool, its odd fields and
+    what a call needs follow from the turn and the length of the text."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("position"), "role", "text")
+    size, ident = F.length("text"), lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv").cast("string"), turn.cast("string"))
+    name = F.element_at(F.array(*[F.lit(t) for t in TOOLS]), (F.pmod(size, F.lit(3)) + 1).cast("int"))
+    fields = F.when(F.pmod(size, F.lit(11)) == 0, F.to_json(F.struct("text", F.lit("ten").alias("limit")))).when(F.pmod(size, F.lit(3)) == 0, F.to_json(F.struct("text", size.alias("limit")))).when(F.pmod(size, F.lit(3)) == 1, F.to_json(F.struct("text"))).otherwise(F.to_json(F.struct("text", F.lit("en").alias("lang"))))
+    turn = F.col("position")
+    needs = F.when(F.pmod(turn, F.lit(8)) == 3, F.array(ident(turn - 2))).when(F.pmod(turn, F.lit(8)) == 5, F.array(ident(turn + 2))).otherwise(F.array().cast("array<string>"))
+    calls = turns.where("role = 'assistant'").select("conv", ident(turn).alias("call_id"), "position", name.alias("name"), fields.alias("arguments"), needs.alias("needs"))
+    results = turns.where("role = 'user' and position > 0").select("conv", ident(turn - 1).alias("call_id"), "position", F.col("text").alias("content"))
+    return toolcalls.link(calls, results, TOOLS).withColumnsRenamed({"conv": "conv_id", "position": "turn"})
+
+
 @query("op7_lm_scoring")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = crossentropy.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
