@@ -13,6 +13,7 @@ null id is passed through; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from .common import shards_for, stored
 
 SHARD = 20_000
+_INNER_SPACE = re.compile(r"\s (?:\s|$)")
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 5, 4
 
 
 class _Tokens(dict):
-    """Token ids, as bytes, of a space and a word. A space between two other characters always starts a new token of
-    this vocabulary, so a text is the join of its words; a text with two spaces in a row is encoded whole."""
+    """Token ids, as bytes, of a space and a word. A space starts a new token of this vocabulary unless there is white
+    space on both of its sides, so a text is the join of its words; a text with such a space is encoded whole."""
 
     def __init__(self, ranks_path: str | None, most: int = 300_000):
         import public_tokenizers
@@ -51,10 +53,10 @@ class _Tokens(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        if "  " in text:
+        if _INNER_SPACE.search(text):
             return self.bytes_of(text)
-        first, _, rest = text.partition(" ")
-        return self.bytes_of(first) + (b"".join(map(self.__getitem__, rest.split(" "))) if _ else b"")
+        first, *rest = text.split(" ")
+        return self.bytes_of(first) + b"".join(map(self.__getitem__, rest))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, capacity: int = 1024, separator: int = 2, with_ids: bool = False) -> DataFrame:
