@@ -12,12 +12,14 @@ from .tiles import as_list, quantiles, sessionize, tile_scan, top_n, with_totals
 def rms_series(pcm: DataFrame, sr: int = 16000, win: float = 0.10, hop: float = 0.05, floor: float = -80.0, key: str = "job_id") -> DataFrame:
     """AGG-19: windowed energy in dBFS. ``pcm`` holds one sample per row (job_id, i, s) with s in -1..1.
 
-    Samples reduce to one sum of squares per hop (map-side), and windows are sums over whole hops."""
+    A window ends ``win`` % ``hop`` samples into a hop, so samples reduce to two sums of squares per hop (map-side), before
+    and behind that place, and windows are sums of these."""
     per_hop, per_win = max(1, int(hop * sr)), max(1, int(win * sr))
-    width = per_win // per_hop
-    hops = pcm.groupBy(key, F.floor(F.col("i") / per_hop).alias("h")).agg(F.sum(F.col("s") * F.col("s")).alias("_sq"), F.count("*").alias("_n"))
-    # a hop belongs to the windows that start at it and at the width-1 hops before it
-    wins = hops.select(key, F.explode(F.sequence(F.greatest(F.lit(0), F.col("h") - (width - 1)), F.col("h"))).alias("w"), "_sq", "_n")
+    width, rest = divmod(per_win, per_hop)
+    late = (F.col("i") % per_hop >= rest).cast("int")
+    parts = pcm.groupBy(key, F.floor(F.col("i") / per_hop).alias("h"), late.alias("_late")).agg(F.sum(F.col("s") * F.col("s")).alias("_sq"), F.count("*").alias("_n"))
+    # a part belongs to the windows that start at its hop and at the hops before it from which they still reach it
+    wins = parts.withColumn("_w0", F.greatest(F.lit(0), F.col("h") - width + F.col("_late"))).filter("_w0 <= h").select(key, F.explode(F.sequence("_w0", "h")).alias("w"), "_sq", "_n")
     wins = wins.groupBy(key, "w").agg(F.sum("_sq").alias("_sq"), F.sum("_n").alias("_n"))
     full = (F.col("_n") == per_win) | (F.col("w") == 0)
     return wins.filter(full).select(key, ((F.col("w") * per_hop + per_win / 2) / sr).alias("t"), to_db(F.sqrt(F.col("_sq") / F.col("_n")), floor).alias("db"))
@@ -33,11 +35,11 @@ def max_pool(series: DataFrame, n: int = 5, key: str = "job_id", tie: Sequence[s
     return d.groupBy(key, "_g").agg(mid.alias("t"), F.max("db").alias("db")).drop("_g")
 
 
-def find_peaks(series: DataFrame, min_prominence: float = 8.0, min_gap: float = 0.6, top: int = 160, key: str = "job_id",
+def find_peaks(series: DataFrame, min_prominence: float = 8.0, min_gap: float = 0.6, top: int | None = None, key: str = "job_id",
                tie: Sequence[str] = ()) -> DataFrame:
     """WIN-12: local maxima well above the median, strongest first, none closer than ``min_gap`` to a
     stronger one. Candidates ``min_gap`` apart cannot suppress each other, so runs of close candidates
-    are settled in parallel; the ``top`` limit comes after."""
+    are settled in parallel; a ``top`` limit, if asked for, comes after."""
     d = tile_scan(series, [key], "t", tie=tie, prev={"_p": F.col("db")}, nxt={"_n": F.col("db")})
     d = d.join(quantiles(series, [key], "db", {"_floor": 0.5}), key)
     cand = d.filter((F.col("db") >= F.col("_p")) & (F.col("db") > F.col("_n")) & (F.col("db") - F.col("_floor") >= min_prominence))

@@ -63,8 +63,8 @@ def movement_stats(positions: DataFrame, keys: Sequence[str] = RALLY, player: st
 
 
 def heatmap(positions: DataFrame, keys: Sequence[str] = ("job_id",), player: str = "player_id", court_space: bool = True,
-            grid: tuple[int, int] = (18, 38), fallback: tuple[int, int] = (30, 17), sigma: float = 1.2, ids: int = 4) -> DataFrame:
-    """AGG-9: soft 3x3 splats on a grid, scaled to the hottest cell of each of a job's first ``ids`` players."""
+            grid: tuple[int, int] = (18, 38), fallback: tuple[int, int] = (30, 17), sigma: float = 1.2, ids: int | None = None) -> DataFrame:
+    """AGG-9: soft 3x3 splats on a grid, scaled to the hottest cell of each of a job's players, or of its first ``ids``."""
     from .tiles import top_n
 
     keys = as_list(keys)
@@ -73,8 +73,9 @@ def heatmap(positions: DataFrame, keys: Sequence[str] = ("job_id",), player: str
     if court_space:
         d = d.filter(F.col("x_m").between(-1.2, 7.3) & F.col("y_m").between(-1.5, 14.9))
     x, y = (("x_m", COURT_W), ("y_m", COURT_L)) if court_space else (("x", 1.0), ("y", 1.0))
-    first = top_n(positions.select(*keys, player).distinct(), keys, [F.asc(player)], ids).drop("rn")
-    d = d.join(first, [*keys, player]).select(*keys, player, (clamp(F.col(x[0]) / x[1], 0.0, 1.0) * (gx - 1)).alias("_cx"),
+    if ids is not None:
+        d = d.join(top_n(positions.select(*keys, player).distinct(), keys, [F.asc(player)], ids).drop("rn"), [*keys, player])
+    d = d.select(*keys, player, (clamp(F.col(x[0]) / x[1], 0.0, 1.0) * (gx - 1)).alias("_cx"),
                                               (clamp(F.col(y[0]) / y[1], 0.0, 1.0) * (gy - 1)).alias("_cy"))
     offsets = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     d = d.withColumn("_o", F.explode(offsets)).select(

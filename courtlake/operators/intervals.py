@@ -33,7 +33,7 @@ def clean_rallies(raw: DataFrame, durations: DataFrame, min_s: float = 3.0, tie:
     d = raw.join(durations, "job_id").withColumns({
         "start_s": F.greatest(F.lit(0.0), F.col("start_s")), "end_s": F.least(F.col("duration"), F.col("end_s")),
         "intensity": F.coalesce(F.nullif(F.col("intensity"), F.lit(0)), F.lit(3)),
-        "note": F.substring(F.coalesce("note", F.lit("")), 1, 80)})
+        "note": F.coalesce("note", F.lit(""))})
     return merge_overlaps(d.filter(F.col("end_s") - F.col("start_s") >= min_s), "job_id", tie=tie)
 
 

@@ -51,7 +51,7 @@ def shuttle_quality(points: DataFrame, durations: DataFrame, keys: Sequence[str]
     return g.select(*keys, cover.alias("coverage"), "longest_gap", "teleports", clamp(cover * gap * jumps, 0.0, 1.0).alias("quality"))
 
 
-def track_health(rows: DataFrame, cadence: DataFrame, keys: Sequence[str] = RALLY, track: str = "track_id", top: int = 8,
+def track_health(rows: DataFrame, cadence: DataFrame, keys: Sequence[str] = RALLY, track: str = "track_id", top: int | None = None,
                  tie: Sequence[str] = ()) -> DataFrame:
     """AGG-3: per tracker id its span, longest gap, coverage against the cadence and confidence."""
     keys = as_list(keys)
@@ -98,17 +98,19 @@ def job_signal_summary(rallies: DataFrame, player_q: float = 0.35) -> DataFrame:
 
 def action_band(boxes: DataFrame, points: DataFrame, keys: Sequence[str] = RALLY, ch: float = 1.0, pad_t: float = 0.10,
                 pad_b: float = 0.13, z: tuple[float, float] = (1.40, 2.25)) -> DataFrame:
-    """AGG-21: one zoom per rally from the vertical band the play lives in."""
+    """AGG-21: one zoom per rally from the vertical band the play lives in; the least zoom and the whole height for a
+    rally without boxes."""
     keys = as_list(keys)
     lo = quantiles(boxes, keys, "y1", {"_lo": 0.05})
     hi = quantiles(boxes, keys, "y2", {"_hi": 0.95})
     sh = quantiles(points, keys, "y", {"_sh": 0.15}).join(points.groupBy(*keys).agg(F.count("y").alias("_n")), keys)
-    d = lo.join(hi, keys).join(sh, keys, "left")
+    d = lo.join(hi, keys).join(sh, keys, "full")
     low = F.col("_lo") - pad_t
     low = F.when(F.col("_n") >= 8, F.least(low, F.col("_sh") - 0.02)).otherwise(low)
     high = F.col("_hi") + pad_b
     band = F.greatest(high - F.least(low, high), F.lit(0.18))
-    return d.select(*keys, clamp(ch / (band * 1.12), *z).alias("z_rally"), F.greatest(F.lit(0.0), low).alias("band_lo"))
+    seen = F.col("_hi").isNotNull()
+    return d.select(*keys, F.when(seen, clamp(ch / (band * 1.12), *z)).otherwise(z[0]).alias("z_rally"), F.when(seen, F.greatest(F.lit(0.0), low)).otherwise(0.0).alias("band_lo"))
 
 
 def path_smoothness(path: DataFrame, keys: Sequence[str] = RALLY, cw: float = 0.31640625, ch: float = 1.0,
@@ -285,7 +287,7 @@ def rejection_histogram(shots: DataFrame, keys: Sequence[str] = ("job_id",)) ->
 
 def public_rally_3d(df: DataFrame) -> DataFrame:
     """PRJ-20: full 3D only for ok rallies; others keep a short status and the rejection map."""
-    slim = F.struct(F.coalesce("r3_status", F.lit("failed")).alias("status"), F.substring(F.coalesce("r3_message", F.lit("")), 1, 200).alias("message"),
+    slim = F.struct(F.coalesce("r3_status", F.lit("failed")).alias("status"), F.coalesce("r3_message", F.lit("")).alias("message"),
                     F.when(F.size("rejected") > 0, F.col("rejected")).alias("rejected"), F.lit(None).cast("long").alias("shots"))
     full = F.struct(F.lit("ok").alias("status"), F.lit("").alias("message"), F.when(F.size("rejected") > 0, F.col("rejected")).alias("rejected"),
                     F.col("n_shots").cast("long").alias("shots"))

@@ -74,7 +74,7 @@ def rank_evidence(rallies: DataFrame, n: int = 4, key: str = "job_id", tie: str
     return top_n(d, [key], [F.desc("score"), F.desc(num("dur")), F.asc(tie)], n, out="rank")
 
 
-def sanitize_notes(notes: DataFrame, summary: DataFrame, key: str = "job_id") -> DataFrame:
+def sanitize_notes(notes: DataFrame, summary: DataFrame, key: str = "job_id", max_caveats: int | None = None) -> DataFrame:
     """PRJ-23: model notes made safe: confidence capped by the measured one, measured caveats added, defaults for
     empty lists. ``notes``: headline, confidence, strengths, work_on, caveats, moments, n_rallies."""
     d = notes.join(summary.select(key, "tracking_confidence", "mode", F.col("caveats").alias("_measured")), key)
@@ -82,7 +82,8 @@ def sanitize_notes(notes: DataFrame, summary: DataFrame, key: str = "job_id") ->
     conf = F.round(F.least(clamp01(F.coalesce(F.col("confidence"), tc)), F.greatest(F.lit(0.2), tc)), 2)
     strengths, work_on = clean_texts("strengths", 2, 92), clean_texts("work_on", 2, 92)
     extra = F.array_compact(F.array(F.when(F.col("mode") == "pose_guided_candidate", NOTE_CANDIDATE), F.when(F.col("mode") == "frame_context_only", NOTE_FRAME)))
-    caveats = F.slice(F.array_distinct(F.concat(clean_texts("caveats", 2, 110), "_measured", extra)), 1, 3)
+    caveats = F.array_distinct(F.concat(clean_texts("caveats", 2, 110), "_measured", extra))
+    caveats = caveats if max_caveats is None else F.slice(caveats, 1, max_caveats)
     return d.select(
         key, short_text(F.coalesce(F.nullif("headline", F.lit("")), F.lit(DEFAULT_HEADLINE)), 110).alias("headline"), conf.alias("confidence"),
         F.when(F.size(strengths) > 0, strengths).otherwise(F.array(F.lit(DEFAULT_STRENGTH))).alias("strengths"),

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid, turn_cos
-from .tiles import as_list, quantiles, sessionize, tile_scan, top_n, with_totals
+from .tiles import as_list, quantiles, row_index, sessionize, tile_scan, with_totals
 
 RALLY = ("job_id", "rally_index")
 
@@ -28,9 +28,10 @@ def flight_segments(points: DataFrame, keys: Sequence[str] = RALLY, gap: float =
 
 
 def split_shots(points: DataFrame, keys: Sequence[str] = RALLY, gap: float = 0.5, cos_max: float = 0.35, min_speed: float = 0.05,
-                min_pts: int = 5, min_dur: float = 0.22, max_segs: int = 24, min_conf: float = 0.3,
+                min_pts: int = 5, min_dur: float = 0.22, max_segs: int | None = None, min_conf: float = 0.3,
                 tie: Sequence[str] = ()) -> DataFrame:
-    """WIN-6: cut a track at detector gaps and at sharp turns; keep the first ``max_segs`` long enough pieces."""
+    """WIN-6: cut a track at detector gaps and at sharp turns; keep the long enough pieces, or the first
+    ``max_segs`` of them."""
     keys = as_list(keys)
     d = points.filter(F.coalesce("confidence", F.lit(1.0)) >= min_conf)
     d = tile_scan(d, keys, "t", tie=tie, prev={"_p": F.struct("t", "x", "y")})
@@ -48,7 +49,9 @@ def split_shots(points: DataFrame, keys: Sequence[str] = RALLY, gap: float = 0.5
     d = tile_scan(d, keys, "t", tie=tie, break_on=["_dt", "_vx", "_vy"], breaks=cut)
     segs = d.groupBy(*keys, "seg").agg(F.count("*").alias("_n"), F.min("t").alias("_t0"), F.max("t").alias("_t1"))
     segs = segs.filter((F.col("_n") >= min_pts) & (F.col("_t1") - F.col("_t0") >= min_dur))
-    shots = top_n(segs, keys, [F.asc("seg")], max_segs, out="shot").select(*keys, "seg", (F.col("shot") - 1).alias("shot"))
+    shots = row_index(segs, keys, "seg", out="shot", tile=F.floor(F.col("seg") / 4096)).select(*keys, "seg", "shot")
+    if max_segs is not None:
+        shots = shots.filter(F.col("shot") < max_segs)
     return d.join(shots, [*keys, "seg"]).drop("_p", "_dt", "_vx", "_vy", "seg")
 
 

@@ -194,8 +194,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, specs: Mapping[str
     return ranked.groupBy(*keys).agg(*aggs)
 
 
-def top_n(df: DataFrame, keys: Sequence[str], by: Sequence[Column], n: int, out: str = "rn") -> DataFrame:
-    """First ``n`` rows per group. Spark pushes the rank limit below the shuffle, so a hot group
+def top_n(df: DataFrame, keys: Sequence[str], by: Sequence[Column], n: int | None, out: str = "rn") -> DataFrame:
+    """First ``n`` rows per group, all of them (unranked) for no ``n``. Spark pushes the rank limit below the shuffle, so a hot group
     ships at most ``n`` rows per task."""
+    if n is None:
+        return df.withColumn(out, F.lit(None).cast("int"))
     w = Window.partitionBy(*as_list(keys)).orderBy(*by)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)

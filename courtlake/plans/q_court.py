@@ -62,7 +62,7 @@ def movement_image(spark, sf):
 {PEOPLE},
 {COURT_H},
 {POSITIONS},
-f AS (SELECT * FROM (SELECT DISTINCT job_id, player_id FROM positions) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY player_id) <= 4),
+f AS (SELECT * FROM (SELECT DISTINCT job_id, player_id FROM positions)),
 c AS (SELECT job_id, player_id, greatest(0e0, least(1e0, x_m / 61e-1)) * 17 AS cx, greatest(0e0, least(1e0, y_m / 134e-1)) * 37 AS cy FROM positions JOIN f USING (job_id, player_id) WHERE x_m BETWEEN -1.2 AND 73e-1 AND y_m BETWEEN -1.5 AND 149e-1),
 s AS (SELECT job_id, player_id, floor(cx + 5e-1) + a AS ix, floor(cy + 5e-1) + b AS iy, cx, cy FROM c, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),
 h AS (SELECT job_id, player_id, ix, iy, sum(exp(-((ix-cx)*(ix-cx) + (iy-cy)*(iy-cy)) / 12e-1)) AS h FROM s WHERE ix BETWEEN 0 AND 17 AND iy BETWEEN 0 AND 37 GROUP BY 1, 2, 3, 4)

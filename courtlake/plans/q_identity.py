@@ -23,7 +23,7 @@ def top_per_frame(spark, sf):
 i AS (SELECT d.*, c.ax IS NULL AS nocourt, {inside_sql('13e-1', '35e-3', '((x1+x2)/2)', 'y2')} AS ins FROM (SELECT *, x1 AS xx FROM dets) d LEFT JOIN (SELECT * FROM courts WHERE job_id % 9 > 0) c USING (job_id)),
 s AS (SELECT *, avg(CASE WHEN ins THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY job_id, track_id) AS share FROM i)
 SELECT job_id, frame_no, det_id FROM s WHERE nocourt OR share < 35e-2 UNION ALL SELECT job_id, frame_no, det_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY job_id, track_id, frame_no ORDER BY confidence DESC, det_id) AS rn FROM s WHERE NOT nocourt AND share >= 35e-2 AND ins) WHERE rn <= 4""")
+  SELECT *, row_number() OVER (PARTITION BY job_id, track_id, frame_no ORDER BY confidence DESC, det_id) AS rn FROM s WHERE NOT nocourt AND share >= 35e-2 AND ins)""")
 def court_player_gate(spark, sf):
     c = court_quads(spark, sf).filter("job_id % 9 > 0")
     return identity.court_player_gate(dets(spark, sf), c, ["job_id", "track_id"], tie=["det_id"])
@@ -41,7 +41,7 @@ def court_pose_gate(spark, sf):
     oka, okb = a["confidence"] >= 0.08, b["confidence"] >= 0.08
     foot = tuple(F.when(oka & okb, (a[c] + b[c]) / 2).when(oka, a[c]).when(okb, b[c]) for c in "xy")
     p = people(spark, sf).withColumn("confidence", F.lit(1.0))
-    return identity.court_player_gate(p, court_quads(spark, sf), ["job_id"], foot=foot, cap=1000)
+    return identity.court_player_gate(p, court_quads(spark, sf), ["job_id"], foot=foot)
 
 
 @query("court_frame_gate", "PRJ-18", "job_id:i frame_no:i det_id:i", ctes("boxes", "courts") + f""",
@@ -84,9 +84,9 @@ def keep_ids(spark, sf):
 
 
 @query("unassigned_rallies", "JOIN-15", "job_id:i rally_id:i", ctes("rallies", "peaks") + """
-SELECT job_id, rally_id FROM rallies r WHERE NOT EXISTS (SELECT 1 FROM peaks p WHERE p.job_id = r.job_id)""")
+SELECT job_id, rally_id FROM rallies r WHERE NOT EXISTS (SELECT 1 FROM peaks p WHERE p.job_id = r.job_id AND p.peak_id % 5 = 0)""")
 def unassigned(spark, sf):
-    return identity.without(load(spark, sf, "rallies"), load(spark, sf, "peaks"), "job_id")
+    return identity.without(load(spark, sf, "rallies"), load(spark, sf, "peaks").filter("peak_id % 5 = 0"), "job_id")
 
 
 @query("argmax_frame", "SRT-5", "job_id:i frame_no:i n:i", ctes("boxes") + f""",

@@ -46,7 +46,7 @@ def shuttle_quality(spark, sf):
 
 @query("track_health", "AGG-3", "job_id:i track_id:i samples:i t0:d t1:d longest_gap:d coverage:d mean_conf:d", ctes("pts") + f""",
 a AS (SELECT *, t - lag(t) OVER (PARTITION BY job_id, track_id ORDER BY t, pid) AS dt FROM pts),
-g AS (SELECT job_id, track_id, count(*) AS samples, min(t) AS t0, max(t) AS t1, coalesce(max(dt), 0) AS longest_gap, avg(confidence) AS mean_conf FROM a GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY count(*) DESC, track_id) <= 8)
+g AS (SELECT job_id, track_id, count(*) AS samples, min(t) AS t0, max(t) AS t1, coalesce(max(dt), 0) AS longest_gap, avg(confidence) AS mean_conf FROM a GROUP BY 1, 2)
 SELECT job_id, track_id, samples, t0, t1, longest_gap, least(1, samples / greatest(1, (t1 - t0) * 2e-1 + 1)) AS coverage, mean_conf FROM g""")
 def track_health(spark, sf):
     p = load(spark, sf, "pts")
@@ -93,8 +93,8 @@ def job_signal_summary(spark, sf):
 {DETS},
 b AS (SELECT job_id, quantile_cont(y1, 0.05) AS lo, quantile_cont(y2, 0.95) AS hi FROM dets GROUP BY 1),
 s AS (SELECT job_id, quantile_cont(y, 0.15) AS sh, count(*) AS n FROM pts GROUP BY 1),
-j AS (SELECT b.job_id, CASE WHEN n >= 8 THEN least(lo - 1e-1, sh - 2e-2) ELSE lo - 1e-1 END AS low, hi + 13e-2 AS high FROM b LEFT JOIN s USING (job_id))
-SELECT job_id, greatest(14e-1, least(225e-2, 1 / (greatest(high - least(low, high), 18e-2) * 112e-2))) AS z_rally, greatest(0, low) AS band_lo FROM j""")
+j AS (SELECT job_id, CASE WHEN n >= 8 THEN least(lo - 1e-1, sh - 2e-2) ELSE lo - 1e-1 END AS low, hi + 13e-2 AS high FROM b FULL JOIN s USING (job_id))
+SELECT job_id, CASE WHEN high IS NULL THEN 14e-1 ELSE greatest(14e-1, least(225e-2, 1 / (greatest(high - least(low, high), 18e-2) * 112e-2))) END AS z_rally, CASE WHEN high IS NULL THEN 0 ELSE greatest(0, low) END AS band_lo FROM j""")
 def action_band(spark, sf):
     return q.action_band(dets(spark, sf), load(spark, sf, "pts"), ["job_id"])
 
@@ -177,12 +177,12 @@ def failure_reason(spark, sf):
 
 
 @query("first_ok_attempt", "SRT-7", "job_id:i chosen:s dropped:b reason:s", ctes("boxes") + """,
-a AS (SELECT okey AS job_id, track_id AS attempt, min(qty) AS q FROM boxes WHERE track_id <= 3 GROUP BY 1, 2),
+a AS (SELECT okey AS job_id, track_id AS attempt, min(qty) AS q FROM boxes GROUP BY 1, 2),
 p AS (SELECT *, CASE attempt WHEN 1 THEN 'tracked' WHEN 2 THEN 'trimmed' ELSE 'safe' END AS pass, q > 25 AS ok, 'q=' || cast(q AS BIGINT) AS detail FROM a),
 g AS (SELECT job_id, arg_min(pass, attempt) FILTER (ok) AS chosen, arg_max(detail, attempt) AS why FROM p GROUP BY 1)
 SELECT job_id, chosen, chosen IS NULL AS dropped, CASE WHEN chosen IS NULL THEN why END AS reason FROM g""")
 def first_ok(spark, sf):
-    a = load(spark, sf, "boxes").filter("track_id <= 3").groupBy(F.col("okey").alias("job_id"), F.col("track_id").alias("attempt")).agg(F.min("qty").alias("q"))
+    a = load(spark, sf, "boxes").groupBy(F.col("okey").alias("job_id"), F.col("track_id").alias("attempt")).agg(F.min("qty").alias("q"))
     a = a.selectExpr("job_id", "attempt", "case attempt when 1 then 'tracked' when 2 then 'trimmed' else 'safe' end as pass", "q > 25 as ok", "'q=' || cast(q as bigint) as detail")
     return q.first_ok(a, ["job_id"])
 
@@ -304,14 +304,14 @@ def contract_check(spark, sf):
 
 
 @query("model_status", "PRJ-21", "page_id:i enabled:b model:s load_status:s mode:s error:s fallback:b", """
-WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 > 0 THEN rtrim(url, '/') END AS u, trim(regexp_replace(substr(html, 1, 400), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS h FROM pages)
+WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 > 0 THEN rtrim(url, '/') END AS u, trim(regexp_replace(html, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS h FROM pages)
 SELECT page_id, u IS NOT NULL AS enabled, string_split(u, '/')[-1] AS model, CASE WHEN u IS NOT NULL THEN 'loaded' ELSE 'not_loaded' END AS load_status, CASE WHEN page_id % 2 = 0 THEN 'measured_boxes' ELSE 'not_configured' END AS mode,
   CASE WHEN length(h) <= 140 THEN h ELSE rtrim(substr(h, 1, 139)) || '...' END AS error, page_id % 5 = 0 AS fallback FROM p""".replace("\n  CASE", " CASE"))
 def model_status(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.struct(
         F.when(F.col("page_id") % 3 > 0, F.col("url")).alias("pose_model"), F.lit(None).cast("string").alias("pose_requested_model"), F.lit("").alias("pose_backend"), F.lit("").alias("pose_load_status"),
         F.when(F.col("page_id") % 2 == 0, "r.pt").alias("racquet_model"), F.lit(None).cast("string").alias("tracknet_model"), F.lit(None).cast("string").alias("tracknet_error"),
-        (F.col("page_id") % 5 == 0).cast("string").alias("fallback"), F.substring("html", 1, 400).alias("error")).alias("model_status"))
+        (F.col("page_id") % 5 == 0).cast("string").alias("fallback"), F.col("html").alias("error")).alias("model_status"))
     return q.model_status(p).select("page_id", "pose.enabled", "pose.model", "pose.load_status", "racquet.mode", "error", "fallback")
 
 
@@ -448,6 +448,16 @@ def rms_series(spark, sf):
     return audio.rms_series(pcm(spark, sf), sr=40)
 
 
+@query("rms_series_odd_rate", "AGG-19", "job_id:i t:d db:d", ctes("pts") + f""",
+{PCM},
+w AS (SELECT job_id, unnest(range(CASE WHEN i < 5 THEN 0 ELSE (i - 3) // 2 END, i // 2 + 1)) AS w, s FROM pcm),
+g AS (SELECT job_id, w, sum(s * s) AS sq, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT job_id, (w * 2 + 25e-1) / 50 AS t, 20 * log10(greatest(1e-4, sqrt(sq / n))) AS db FROM g WHERE n = 5 OR w = 0""")
+def rms_series_odd_rate(spark, sf):
+    """A window of five samples over hops of two."""
+    return audio.rms_series(pcm(spark, sf), sr=50)
+
+
 SERIES = "ser AS (SELECT track_id AS job_id, t, value AS db, pid FROM pts)"
 
 
@@ -532,7 +542,7 @@ c AS (SELECT *, CASE WHEN oq < 45e-2 THEN '{report.CAVEAT_POSE}' WHEN mode = 'po
 SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'Strong finish' ELSE '{report.DEFAULT_HEADLINE}' END AS headline, round(least(CASE WHEN job_id % 3 > 0 THEN 9e-1 ELSE round(tc, 3) END, greatest(2e-1, round(tc, 3))), 2) AS confidence,
   CASE WHEN job_id % 2 = 1 THEN 'fast|calm' ELSE '{report.DEFAULT_STRENGTH}' END AS strengths, '{report.DEFAULT_WORK_ON}' AS work_on, 1 AS n_moments, concat_ws('|', 'one', 'two', third) AS caveats FROM c""".replace("\n  CASE", " CASE"))
 def sanitize_notes(spark, sf):
-    d = report.sanitize_notes(raw_notes(spark, sf), report.evidence_summary(evidence_rows(spark, sf)))
+    d = report.sanitize_notes(raw_notes(spark, sf), report.evidence_summary(evidence_rows(spark, sf)), max_caveats=3)
     return d.withColumns({"n_moments": F.size("moments"), **{c: F.array_join(c, "|") for c in ("strengths", "work_on", "caveats")}})
 
 

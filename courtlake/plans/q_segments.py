@@ -37,7 +37,7 @@ d AS (SELECT *, CASE WHEN dt > 12 OR (sqrt(vx*vx+vy*vy) > 1e-3 AND sqrt(px*px+py
         AND (vx*px+vy*py) / (sqrt(vx*vx+vy*vy) * sqrt(px*px+py*py)) < 35e-2) THEN 1 ELSE 0 END AS brk FROM c),
 e AS (SELECT *, sum(brk) OVER (PARTITION BY track_id ORDER BY t, pid) AS seg FROM d),
 g AS (SELECT track_id, seg, row_number() OVER (PARTITION BY track_id ORDER BY seg) - 1 AS shot FROM
-        (SELECT track_id, seg FROM e GROUP BY 1, 2 HAVING count(*) >= 3 AND max(t) - min(t) >= 22e-2) QUALIFY shot < 24)
+        (SELECT track_id, seg FROM e GROUP BY 1, 2 HAVING count(*) >= 3 AND max(t) - min(t) >= 22e-2))
 SELECT track_id, shot, pid FROM e JOIN g USING (track_id, seg)""")
 def split_shots(spark, sf):
     return segments.split_shots(load(spark, sf, "pts"), ["track_id"], gap=12, min_speed=1e-3, min_pts=3, tie=["pid"])

@@ -26,18 +26,18 @@ def players(spark: SparkSession, sf: str) -> DataFrame:
         F.min("t").alias("t"), *[F.min(c).alias(c) for c in ("x1", "y1", "x2", "y2")], F.max("confidence").alias("confidence"))
 
 
-# People with 17 joints from the embedding vectors: job, frame and player follow from the vector's number.
-PEOPLE = """people0 AS (SELECT vec_id AS row_id, vec_id % 100 AS job_id, (vec_id * 7) % 200 AS frame_no, cast(1 + label % 7 AS BIGINT) AS player_id, [cast(v AS DOUBLE) for v in embedding] AS e FROM embeddings),
+# People with 17 joints from the embedding vectors, one each: job, frame and player follow from the vector's number and are
+# its digits, so no two vectors share them; jobs grow in number with the vectors.
+PEOPLE = """people0 AS (SELECT vec_id AS row_id, 1 + vec_id % 50 + 50 * (vec_id // 70000) AS job_id, vec_id // 50 % 1400 // 7 AS frame_no, 1 + vec_id // 50 % 7 AS player_id, [cast(v AS DOUBLE) for v in embedding] AS e FROM embeddings),
 people AS (SELECT row_id, job_id, frame_no, player_id, frame_no / 6e0 AS t, list_transform(range(17), lambda i: {'x': 5e-1 + e[3*i+1] / 2e0, 'y': 5e-1 + e[3*i+2] / 2e0, 'confidence': least(1e0, abs(e[3*i+3]) * 4e0)}) AS kps
-  FROM people0 QUALIFY row_number() OVER (PARTITION BY job_id, frame_no, player_id ORDER BY row_id) = 1)"""
+  FROM people0)"""
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").selectExpr(
-        "vec_id as row_id", "vec_id % 100 as job_id", "(vec_id * 7) % 200 as frame_no", "cast(1 + label % 7 as bigint) as player_id", "cast(embedding as array<double>) as e")
-    e = e.withColumns({"t": F.expr("frame_no / 6e0"), "keypoints": F.expr(
+        "vec_id as row_id", "1 + vec_id % 50 + 50 * (vec_id div 70000) as job_id", "vec_id div 50 % 1400 div 7 as frame_no", "1 + vec_id div 50 % 7 as player_id", "cast(embedding as array<double>) as e")
+    return e.withColumns({"t": F.expr("frame_no / 6e0"), "keypoints": F.expr(
         "transform(sequence(0, 16), i -> named_struct('x', 5e-1 + e[3*i] / 2e0, 'y', 5e-1 + e[3*i+1] / 2e0, 'confidence', least(1e0, abs(e[3*i+2]) * 4e0)))")}).drop("e")
-    return e.groupBy("job_id", "frame_no", "player_id").agg(F.min_by(F.struct("row_id", "t", "keypoints"), "row_id").alias("r")).select("job_id", "frame_no", "player_id", "r.*")
 
 
 # Projective map of the unit square onto the quad, its inverse, scaled to metres.

@@ -24,12 +24,19 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf) ->
     return spark
 
 
+def _private_dir(spark: SparkSession, prefix: str) -> str:
+    """A folder of this machine, which only a local session may use."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach: below the cluster's shared checkpoint folder, or a
-    private one where the session names none (tests)."""
+    private one where a local session names none (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        return tempfile.mkdtemp(prefix=f"courtlake-{name}-")
+        return _private_dir(spark, f"courtlake-{name}-")
     return f"{shared.rstrip('/')}/courtlake-{name}-{uuid.uuid4().hex}"
 
 
@@ -41,5 +48,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="courtlake-ckpt-"))
+        sc.setCheckpointDir(shared or _private_dir(spark, "courtlake-ckpt-"))
     return df.checkpoint(eager=True)

@@ -36,7 +36,7 @@ def point(v: Column) -> Column:
     known = F.coalesce(pick(inner, "x", as_="string"), pick(inner, "[0]", as_="string")).isNotNull() & F.coalesce(pick(inner, "y", as_="string"), pick(inner, "[1]", as_="string")).isNotNull()
     conf = F.coalesce(pick(v, "confidence", "conf"), pick(inner, "confidence", "conf", "score", "[2]"), F.lit(1.0))
     return F.when(known, F.struct(clamp01(pick(inner, "x", "[0]")).alias("x"), clamp01(pick(inner, "y", "[1]")).alias("y"), clamp01(conf, 1.0).alias("confidence"),
-                                  F.substring(pick(inner, "source", as_="string"), 1, 40).alias("source")))
+                                  pick(inner, "source", as_="string").alias("source")))
 
 
 def box(v: Column) -> Column:
@@ -63,8 +63,10 @@ def box(v: Column) -> Column:
             .when(all_there("[0]", "[1]", "[2]", "[3]"), corners(("[0]", "[1]", "[2]", "[3]"))))
 
 
-def _strong(boxes: Column, min_conf: float, cap: int) -> Column:
-    return F.slice(F.filter(F.transform(boxes, box), lambda b: b.isNotNull() & (b["confidence"] >= min_conf)), 1, cap)
+def _strong(boxes: Column, min_conf: float, cap: int | None) -> Column:
+    """Boxes of enough confidence; with a ``cap`` the strongest of them, equal ones in the payload's order."""
+    kept = F.filter(F.transform(boxes, lambda v, i: F.struct((-box(v)["confidence"]).alias("c"), i.alias("i"), box(v).alias("b"))), lambda s: s["b"].isNotNull() & (s["b"]["confidence"] >= min_conf))
+    return F.transform(kept if cap is None else F.slice(F.array_sort(kept), 1, cap), lambda s: s["b"])
 
 
 def _abs_t(v: Column) -> Column:
@@ -73,8 +75,8 @@ def _abs_t(v: Column) -> Column:
     return F.when((t < start - 0.25) & (t >= 0) & (t <= dur + 3.6), start + t).otherwise(t)
 
 
-def canonicalize_detections(raw: DataFrame, rallies: DataFrame, min_box_conf: float = 0.05, max_boxes: int = 6, max_people: int = 6,
-                            max_racquets: int = 4) -> dict[str, DataFrame]:
+def canonicalize_detections(raw: DataFrame, rallies: DataFrame, min_box_conf: float = 0.05, max_boxes: int | None = None,
+                            max_people: int | None = None, max_racquets: int | None = None) -> dict[str, DataFrame]:
     """SRC-2: raw (job_id, payload) and rallies (job_id, rally_index from 1, start_s, dur) to shuttle points, player
     boxes, people and racquet boxes."""
     doc = raw.select("job_id", F.try_parse_json("payload").alias("v"))
@@ -100,9 +102,9 @@ def canonicalize_detections(raw: DataFrame, rallies: DataFrame, min_box_conf: fl
     players = framed.drop("f").unionByName(tracked).select(*key, "frame_no", "t", F.posexplode("b").alias("box_no", "x")).select(*key, "frame_no", "t", "box_no", "x.*")
 
     raw_people = items(f, "poses", "pose_tracks", "keypoints")
-    people = framed.select(*key, "frame_no", "t", "b", F.posexplode(F.slice(raw_people, 1, max_people)).alias("person_no", "p"))
+    people = framed.select(*key, "frame_no", "t", "b", F.posexplode(raw_people if max_people is None else F.slice(raw_people, 1, max_people)).alias("person_no", "p"))
     pts = F.filter(F.transform(F.coalesce(items(F.col("p"), "keypoints"), F.try_variant_get("p", "$", MANY)), point), lambda q: q.isNotNull())
-    people = people.withColumn("keypoints", F.slice(pts, 1, 17)).filter(F.size("keypoints") > 0)
+    people = people.withColumn("keypoints", pts).filter(F.size("keypoints") > 0)
     mean = F.aggregate("keypoints", F.lit(0.0), lambda a, k: a + k["confidence"]) / F.size("keypoints")
     people = people.select(*key, "frame_no", "t", "person_no", F.floor(pick(F.col("p"), "track_id")).cast("long").alias("track_id"),
                            clamp01(F.coalesce(pick(F.col("p"), "confidence", "conf", "score"), mean)).alias("confidence"), "keypoints", F.get("b", F.col("person_no")).alias("bbox"))
