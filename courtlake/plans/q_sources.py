@@ -7,7 +7,7 @@ from ..session import scratch_dir
 from ..sources import detections, results, tables
 from ..operators import report
 from .adapters import ctes, load
-from .q_quality import PCM, pcm
+from .q_quality import PCM, SHOT, hits as gated_hits, pcm
 from .registry import query
 
 _PAYLOAD = """
@@ -129,14 +129,16 @@ def read_bench(spark, sf):
     return d
 
 
-@query("match_reports", "SRC-8 WIN-4 JOIN-5 WIN-41", "job_id:i rally_index:i schema_tag:s flights:i in_play:i peaks:i", ctes("rallies", "peaks", "samples") + """,
+@query("match_reports", "SRC-8 WIN-4 JOIN-5 WIN-41", "job_id:i rally_index:i schema_tag:s flights:i in_play:i peaks:i hits:i fastest:d", ctes("rallies", "peaks", "samples") + f""",
+{SHOT},
+hit AS (SELECT shot_id, count(*) AS hits, max(speed_kmh) AS fastest FROM gated WHERE gate IS NULL GROUP BY 1),
 a AS (SELECT shot_id, x / 10 AS x, z / 10 + 1e-1 AS y, t FROM samples WHERE (pkey % 100 / 100e0) >= 3e-1),
 b AS (SELECT *, t - lag(t) OVER w AS dt, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS hop FROM a WINDOW w AS (PARTITION BY shot_id ORDER BY t, x, y)),
 c AS (SELECT *, sum(CASE WHEN dt > 25e-2 THEN 1 ELSE 0 END) OVER (PARTITION BY shot_id ORDER BY t, x, y ROWS UNBOUNDED PRECEDING) AS seg FROM b),
 d AS (SELECT shot_id, seg, count(*) AS n, max(t) - min(t) AS len, list_sort(list(hop / dt) FILTER (dt > 1e-3 AND dt <= 25e-2))[count(*) FILTER (dt > 1e-3 AND dt <= 25e-2) // 2 + 1] AS med FROM c GROUP BY 1, 2),
 f AS (SELECT shot_id, count(*) AS flights, count(*) FILTER (med >= 15e-2 AND len >= 4e-1) AS in_play FROM d WHERE n >= 3 AND med IS NOT NULL GROUP BY 1),
 p AS (SELECT r.rally_id, count(*) AS peaks FROM rallies r JOIN peaks k ON k.job_id = r.job_id AND k.t BETWEEN r.start_s - 1 AND r.end_s + 1 GROUP BY 1)
-SELECT r.rally_id AS job_id, 0 AS rally_index, 'v2' AS schema_tag, coalesce(flights, 0) AS flights, coalesce(in_play, 0) AS in_play, coalesce(peaks, 0) AS peaks FROM rallies r LEFT JOIN f ON f.shot_id = r.rally_id LEFT JOIN p USING (rally_id)""")
+SELECT r.rally_id AS job_id, 0 AS rally_index, 'v2' AS schema_tag, coalesce(flights, 0) AS flights, coalesce(in_play, 0) AS in_play, coalesce(peaks, 0) AS peaks, coalesce(hits, 0) AS hits, fastest FROM rallies r LEFT JOIN f ON f.shot_id = r.rally_id LEFT JOIN p USING (rally_id) LEFT JOIN hit ON hit.shot_id = r.rally_id""")
 def match_reports(spark, sf):
     from ..operators.intervals import events_in
 
@@ -145,15 +147,15 @@ def match_reports(spark, sf):
     pts = load(spark, sf, "samples").selectExpr("shot_id as job_id", "0 as rally_index", "t", "x / 10 as x", "z / 10 + 1e-1 as y", "pkey % 100 / 100e0 as confidence")
     fl = flight_segments(pts, ["job_id", "rally_index"], tie=["x", "y"])
     pk = events_in(r.select("job_id", "rally_id", "start_s", "end_s"), load(spark, sf, "peaks"), pad=1.0).selectExpr("rally_id as job_id", "0 as rally_index", "t", "prominence_db")
-    hits = pts.limit(0).selectExpr("job_id", "rally_index", "t", "x as speed_kmh", "y as speed_at_net_kmh")
+    hits = gated_hits(spark, sf).selectExpr("shot_id as job_id", "0 as rally_index", "t", "speed_kmh", "speed_at_net_kmh")
     rows = r.selectExpr("rally_id as job_id", "0 as rally_index", "start_s", "end_s", "dur", "intensity")
     doc = report.rally_report(rows, fl, hits, pk)
     tables.write_reports(doc, f"{root}/out", "v1", buckets=8)                       # a first version, stale below
     tables.write_reports(doc.filter("intensity < 4"), f"{root}/out", "v2", buckets=8)
     tables.write_reports(doc, f"{root}/out", "v2", buckets=8)                       # adds only the missing ones
     out = spark.read.schema(doc.withColumn("schema_tag", F.lit("")).schema).json(f"{root}/out")
-    n = {c: F.coalesce(F.when(F.col(s).isNotNull(), F.size(s)), F.lit(0)) for c, s in (("flights", "shuttle_flight"), ("peaks", "audio_peaks"))}
-    return out.select("job_id", "rally_index", "schema_tag", n["flights"].alias("flights"), F.coalesce(F.when(F.col("in_play").isNotNull(), F.size("in_play")), F.lit(0)).alias("in_play"), n["peaks"].alias("peaks"))
+    n = {c: F.coalesce(F.when(F.col(s).isNotNull(), F.size(s)), F.lit(0)) for c, s in (("flights", "shuttle_flight"), ("peaks", "audio_peaks"), ("hits", "hits"))}
+    return out.select("job_id", "rally_index", "schema_tag", n["flights"].alias("flights"), F.coalesce(F.when(F.col("in_play").isNotNull(), F.size("in_play")), F.lit(0)).alias("in_play"), n["peaks"].alias("peaks"), n["hits"].alias("hits"), F.array_max(F.transform("hits", lambda h: h["speed_kmh"])).alias("fastest"))
 
 
 @query("public_view_light", "PRJ-8", "job_id:i rally_index:i dur:d", ctes("rallies") + """

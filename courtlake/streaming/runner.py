@@ -2,19 +2,25 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 
 
-def feed(spark: SparkSession, df: DataFrame, root: str, parts: int = 2, order: str = "t", sentinel: DataFrame | None = None) -> DataFrame:
-    """Write ``df`` as ``parts`` files by ``order`` and open them as a stream, oldest first. A sentinel row far in the future lets
-    watermarks close the last windows."""
+def feed(spark: SparkSession, df: DataFrame, root: str, parts: int = 3, order: str = "t", sentinel: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as ``parts`` files, slices by ``order`` one after the other, and open them as a stream that takes one file a
+    batch, oldest first, so state is carried from batch to batch. A table of more rows wants more parts. A sentinel row
+    far in the future lets watermarks close the last windows."""
     path = f"{root}/in"
-    d = df.repartitionByRange(parts, order)
-    d.write.parquet(path)
+    at = F.col(order).cast("double")
+    cuts = df.agg(F.percentile_approx(at, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("c")).first()["c"] or [0.0] * (parts - 1)
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        part = df if low is None else df.where(at > low)
+        (part if high is None else part.where(at <= high)).coalesce(1).write.mode("append").parquet(path)
     if sentinel is not None:
         sentinel.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drain(stream: DataFrame, root: str, mode: str = "append", sink: Callable | None = None) -> DataFrame:
