@@ -36,6 +36,31 @@ def backfill(spark, sf):
     return store.backfill_jobs(legacy(spark, sf))
 
 
+@query("read_store", "SRC-5", "id:i user_name:s school:s sessions:i students:i", ctes("jobs", "members", "schools") + """,
+s AS (SELECT user_id, count(*) AS n FROM members WHERE role = 'coach' GROUP BY 1)
+SELECT j.id, u.name AS user_name, c.name AS school, coalesce(s.n, 0) AS sessions, CASE WHEN j.id % 3 = 0 THEN 1 ELSE 0 END AS students
+FROM jobs j JOIN members u ON u.user_id = j.uploaded_by JOIN schools c ON c.school_id = u.school_id LEFT JOIN s ON s.user_id = u.user_id""")
+def read_store(spark, sf):
+    """The six tables, written as a store and read back, joined along their keys."""
+    from ..session import scratch_dir
+    from ..sources import tables
+
+    root = scratch_dir(spark, "store")
+    jobs, members, schools = (load(spark, sf, n) for n in ("jobs", "members", "schools"))
+    parts = {
+        "jobs": jobs.select("id", "uploaded_by", "status"), "users": members.select("user_id", "name"), "schools": schools.select("school_id", F.col("name").alias("school")),
+        "memberships": members.select("user_id", "school_id", "role"), "auth_sessions": members.filter("role = 'coach'").select("user_id", F.expr("user_id * 31").alias("token")),
+        "job_students": jobs.filter("id % 3 = 0").selectExpr("id as job_id", "uploaded_by as student_id")}
+    for name, df in parts.items():
+        df.write.parquet(f"{root}/{name}")
+    t = tables.read_store(spark, root)
+    live = t["auth_sessions"].groupBy("user_id").agg(F.count("*").alias("sessions"))
+    assigned = t["job_students"].groupBy(F.col("job_id").alias("id")).agg(F.count("*").alias("students"))
+    d = t["jobs"].withColumnRenamed("uploaded_by", "user_id").join(t["users"], "user_id").join(t["memberships"], "user_id").join(t["schools"], "school_id")
+    d = d.join(live, "user_id", "left").join(assigned, "id", "left")
+    return d.select("id", F.col("name").alias("user_name"), "school", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("students", F.lit(0)).alias("students"))
+
+
 @query("queue_meta", "PRJ-9", "id:i gen_seconds:d expected_gen_seconds:i error:s", ctes("jobs") + """
 SELECT id, CASE WHEN finished_at >= started_at THEN finished_at - started_at END AS gen_seconds, CASE pipeline WHEN 'cpu' THEN 1800 ELSE 600 END AS expected_gen_seconds, CASE WHEN status = 'failed' THEN priority END AS error FROM jobs""")
 def queue_meta(spark, sf):
