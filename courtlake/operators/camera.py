@@ -8,7 +8,7 @@ from ..functions.scalar import clamp, num
 from ..session import cut_lineage
 from .asof import bracket, fill_unseen
 from .intervals import events_in
-from .smoothing import hann
+from .smoothing import hann, hann_short
 from .tiles import as_list, quantiles, tile_scan, with_totals
 
 RALLY = ("job_id", "rally_index")
@@ -170,7 +170,8 @@ def follow_targets(grid: DataFrame, rallies: DataFrame, keys: Sequence[str] = RA
     d = cut_lineage(d.select(*keys, "frame_no", "x", "y", "z"))          # filling and smoothing read it several times
     d = with_totals(d, keys, _seen=F.avg(F.col("x").isNotNull().cast("double"))).filter(F.col("_seen") >= min_seen)
     d = fill_unseen(d.drop("_seen"), keys, "frame_no", ["x", "y"], {"x": 0.5, "y": 0.55})
-    return hann(d, keys, "frame_no", ["x", "y"], win)
+    long = with_totals(d, keys, _n=F.count("*")).filter(F.col("_n") >= win).select(*d.columns)
+    return hann(long, keys, "frame_no", ["x", "y"], win).select(*d.columns).union(hann_short(d, keys, "frame_no", ["x", "y"], win))
 
 
 def static_framing(path: DataFrame, keys: Sequence[str] = RALLY) -> DataFrame:

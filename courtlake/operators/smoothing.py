@@ -92,6 +92,26 @@ def hann(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str] | str,
     return _centred(df, keys, t, half, make, tie)
 
 
+def hann_short(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str], most: int) -> DataFrame:
+    """The same average for groups of fewer than ``most`` rows, over a window as long as the group (odd, 3 at least). A group is
+    so short that it is held as one array."""
+    keys, cols = as_list(keys), as_list(cols)
+    rest = [c for c in df.columns if c not in (*keys, t)]
+    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(t, *rest))).alias("_r")).filter(F.size("_r") < most)
+    n = F.size("_r")
+    half = F.floor(F.greatest(F.lit(3), n + 1 - n % 2) / 2).cast("int")
+    offsets = F.sequence(-half, half)
+    weight = lambda j: 0.5 - 0.5 * F.cos(math.pi * (j + half) / half)
+    total = F.aggregate(offsets, F.lit(0.0), lambda a, j: a + weight(j))
+
+    def mean(i, c):
+        value = lambda j: F.get("_r", F.greatest(F.lit(0), F.least(i + j, n - 1)))[c]
+        return F.aggregate(offsets, F.lit(0.0), lambda a, j: a + weight(j) * value(j)) / total
+
+    rows = F.transform("_r", lambda r, i: F.struct(r[t].alias(t), *[(mean(i, c) if c in cols else r[c]).alias(c) for c in rest]))
+    return g.select(*keys, F.inline(rows)).select(*df.columns)
+
+
 def ema(df: DataFrame, keys: Sequence[str], t: str, col: str, alpha: float = 0.20, id: str = "pid") -> DataFrame:
     """WIN-28: a += alpha * (x - a), starting at the first value. A run of rows acts on ``a`` as a * p + q."""
     keys = as_list(keys)

@@ -164,3 +164,36 @@ def test_thinning_keeps_dropouts(spark):
     ts = sorted(r.t for r in thinning.thin(p, ["k"], tie=["pid"]).collect())
     gaps = [b - a for a, b in zip(ts, ts[1:])]
     assert sum(d > 0.35 for d in gaps) == 1 and max(d for d in gaps if d < 1) < 0.33 and math.isclose(ts[-1], 3 + 29 / 30)
+
+
+def test_short_rallies_get_a_short_window(spark):
+    import math
+
+    from courtlake.operators.smoothing import hann_short
+
+    rows = [(k, i, float((i * 7 + k) % 5), "a") for k in (1, 2, 3, 8, 16, 17) for i in range(k)]
+    got = {(r.k, r.frame_no): r.x for r in hann_short(spark.createDataFrame(rows, "k int, frame_no int, x double, note string"), ["k"], "frame_no", ["x"], 17).collect()}
+    expect = {}
+    for n in (1, 2, 3, 8, 16):
+        win = max(3, n | 1)
+        w = [0.5 - 0.5 * math.cos(2 * math.pi * i / (win - 1)) for i in range(win)]
+        v = [float((i * 7 + n) % 5) for i in range(n)]
+        for i in range(n):
+            expect[n, i] = sum(w[j + win // 2] * v[max(0, min(n - 1, i + j))] for j in range(-(win // 2), win // 2 + 1)) / sum(w)
+    assert got.keys() == expect.keys() and all(abs(got[k] - expect[k]) < 1e-9 for k in expect)
+
+
+def test_energy_windows_at_any_rate(spark):
+    import math
+
+    from courtlake.operators.audio import rms_series
+
+    for sr, n in ((22050, 22050), (16000, 8000), (50, 60), (40, 41)):
+        hop, win = max(1, int(0.05 * sr)), max(1, int(0.1 * sr))
+        s = [math.sin(i * 0.37) * (i % 11) / 11 for i in range(n)]
+        got = {round(2 * r.t * sr): r.db for r in rms_series(spark.createDataFrame([(1, i, v) for i, v in enumerate(s)], "job_id int, i long, s double"), sr=sr).collect()}
+        starts = [a for a in range(0, n, hop) if a + win <= n]
+        assert got.keys() == {2 * a + win for a in starts}
+        for a in starts[:5] + starts[-5:]:
+            rms = math.sqrt(sum(x * x for x in s[a:a + win]) / win)
+            assert abs(got[2 * a + win] - 20 * math.log10(max(1e-4, rms))) < 1e-6
