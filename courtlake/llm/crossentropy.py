@@ -7,7 +7,7 @@ is left out of the counts that score it.
 
 Documents are dealt to blocks of a bounded number of words. A block asks for the corpus counts of its own distinct
 words and bigrams: the questions, with the block's own counts, meet in buckets of hashed keys, where they are summed and
-answered. A frequent bigram comes once from each block, not once from each place, and neither the models nor the corpus
+answered, unless nobody else has it. A frequent bigram comes once from each block, not once from each place, and neither the models nor the corpus
 pass through one task or the driver.
 
 Defined cases: a null or wordless text has no words and null losses; a null label counts as no label, an id is a target if
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, shards_for, stored
 
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 BUCKET_KEYS = 1_000_000
 NOMINAL_WORDS = 1 << 20      # size of the vocabulary in the last smoothing step
 WORD_MASS, HISTORY_MASS = 1000.0, 5.0
@@ -59,9 +59,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, target: str) -> DataFra
         hashes, ids, parts, flags, held, n, idtype = _Hashes(), [], [], [], 0, TaskContext.get().partitionId() << 33, None
 
         def flush() -> pa.RecordBatch:
-            words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
+            words, tokens, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")                # frequent words get small numbers
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            words, tokens = words[order], rank[tokens]
             lengths, good = np.array([len(p) for p in parts], np.int32), np.array(flags, bool)
-            values = [n, ids, lengths.tobytes(), good.tobytes(), words.tobytes(), tokens.astype(np.int32).tobytes(), int(lengths.sum()), int(lengths[good].sum())]
+            values = [n, ids, lengths.tobytes(), good.tobytes(), words.tobytes(), _planes(tokens.astype(np.int32)), int(lengths.sum()), int(lengths[good].sum())]
             types = [pa.int64(), pa.list_(idtype), *[pa.binary()] * 4, pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["block", "ids", "lengths", "targets", "words", "tokens", "n", "n_target"])
 
@@ -82,12 +86,26 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, target: str) -> DataFra
     return stored(docs.select(F.col(id_col), F.col(text_col).cast("string"), target).mapInArrow(build, schema), "blocks")
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: what is alike then stands together and compresses."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.concatenate([_from_planes(x, kind) for x in column.to_pylist()])
+
+
 class _Block:
     """Keys of a block's distinct words (the start of a text is the last) and bigrams, and its own counts of them."""
 
     def __init__(self, lengths: bytes, targets: bytes, words: bytes, tokens: bytes):
         self.lengths, good = np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(targets, bool)
-        self.tokens = np.frombuffer(tokens, np.int32)
+        self.tokens = _from_planes(tokens, np.int32)
         words = np.append(np.frombuffer(words, _U), _START)
         self.before = np.empty_like(self.tokens)
         self.before[1:] = self.tokens[:-1]
@@ -125,27 +143,32 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                 cuts = [slice(s, e) for s, e in zip(first, [*first[1:], len(at)])]
                 for part in (cuts[i:i + 200] for i in range(0, len(cuts), 200)):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(at[c.start]) for c in part], pa.int32()), pa.array([block] * len(part), pa.int64()), *(pa.array([x[c].tobytes() for c in part], pa.binary()) for x in (b.keys, *b.counts))], ["bucket", "block", "keys", "back", "target"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(at[c.start]) for c in part], pa.int32()), pa.array([block] * len(part), pa.int64()), pa.array([_planes(np.diff(b.keys[c], prepend=_U(0))) for c in part], pa.binary()), *(pa.array([_planes(x[c]) for c in part], pa.binary()) for x in b.counts)], ["bucket", "block", "keys", "back", "target"])
 
     def answer(group: pa.Table) -> pa.Table:
         texts = group.column("keys").to_pylist()
         ends = np.cumsum([len(t) // 8 for t in texts])
-        _, same = np.unique(np.frombuffer(b"".join(texts), _U), return_inverse=True)
+        _, same = np.unique(np.concatenate([np.cumsum(_from_planes(t, _U), dtype=_U) for t in texts]), return_inverse=True)      # sent as steps
         out = {"block": group.column("block"), "bucket": group.column("bucket")}
-        for c in ("back", "target"):
-            sums = np.bincount(same, np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint32))[same].astype(np.float32)
-            out[c] = pa.array([x.tobytes() for x in np.split(sums, ends[:-1])], pa.binary())
+        sums = [np.bincount(same, _joined(group.column(c), np.uint32))[same].astype(np.float32) for c in ("back", "target")]
+        more = [x >= 2 for x in np.split(sums[0], ends[:-1])]        # what stands once in the corpus is known to who asks
+        out["more"] = pa.array([np.packbits(m).tobytes() for m in more], pa.binary())
+        out["n"] = pa.array([len(m) for m in more], pa.int32())
+        for c, x in zip(("back", "target"), sums):
+            out[c] = pa.array([_planes(y[m]) for m, y in zip(more, np.split(x, ends[:-1]))], pa.binary())
         return pa.table(out)
 
     def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids").combine_chunks().values
         b = _Block(*(left.column(c)[0].as_py() for c in ("lengths", "targets", "words", "tokens")))
         right = right.sort_by("bucket")
+        more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(right.column("more").to_pylist(), right.column("n").to_pylist())]).astype(bool)
         losses = []
         known = None
-        for c, factor, mass, own in (("back", scale, n_back * scale, np.ones(len(b.tokens))), ("target", 1.0, float(n_target), b.good.astype(float))):
-            counts = np.empty(len(b.keys))
-            counts[b.order] = np.frombuffer(b"".join(right.column(c).to_pylist()), np.float32)
+        for c, asked_with, factor, mass, own in (("back", b.counts[0], scale, n_back * scale, np.ones(len(b.tokens))), ("target", b.counts[1], 1.0, float(n_target), b.good.astype(float))):
+            answered, counts = asked_with.astype(float), np.empty(len(b.keys))
+            answered[more] = _joined(right.column(c), np.float32)
+            counts[b.order] = answered
             word, history, pair = counts[b.tokens], counts[b.before], counts[b.n_words:][b.pair]
             if known is None:
                 known = word >= 2
@@ -166,6 +189,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pa.table({"doc_id": ids, "n_tokens": pa.array(b.lengths), "background_loss": means[0], "target_loss": means[1]})
 
     asked = blocks.select("block", "lengths", "targets", "words", "tokens").mapInArrow(ask, "bucket int, block long, keys binary, back binary, target binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, back binary, target binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, more binary, n int, back binary, target binary")
     scored = blocks.drop("n", "n_target").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(weigh, f"doc_id {kind}, n_tokens long, background_loss double, target_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
