@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from courtlake.llm import graph, jaccard, linededup
+from courtlake.llm import jaccard, linededup
+from courtlake.operators.components import components
 
 from .conftest import ascii_lower
 
@@ -100,7 +101,7 @@ def test_components_of_a_graph(spark):
     for _ in range(300):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
-    got = {r.a: r.b for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in root.items() if k != v}
 
 
