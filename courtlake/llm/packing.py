@@ -13,6 +13,7 @@ null id is passed through; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -59,12 +60,28 @@ class _Tokens(dict):
         return self.bytes_of(first) + b"".join(map(self.__getitem__, rest))
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, capacity: int = 1024, separator: int = 2, with_ids: bool = False) -> DataFrame:
+class _Whole:
+    """Token ids of texts that may hold added tokens of the vocabulary, such as <|endoftext|>: these have ids of their own,
+    and what stands between them is encoded as text."""
+
+    def __init__(self, tokens: _Tokens, added_path: str | None):
+        import public_tokenizers
+
+        with open(added_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            self._ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.load(f)["added_tokens"]}
+        self._text = tokens.text
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._ids, key=len, reverse=True))) + ")").split if self._ids else lambda text: [text]
+
+    def text(self, text: str) -> bytes:
+        return b"".join(self._ids[part] if k % 2 else self._text(part) for k, part in enumerate(self._split(text)) if part)
+
+
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, added_path: str | None = None, capacity: int = 1024, separator: int = 2, with_ids: bool = False) -> DataFrame:
     """Stored: one row per piece, numbered over all; ``ids`` only if asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, uid = _Tokens(ranks_path), TaskContext.get().partitionId() << 33
+        tokens, uid = _Whole(_Tokens(ranks_path), added_path), TaskContext.get().partitionId() << 33
         end = np.array([separator], "<u4").tobytes()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
