@@ -13,10 +13,10 @@ RALLY = ("job_id", "rally_index")
 __all__ = ["thin", "stride", "flatten_tracks", "public_view"]
 
 
-def thin(points: DataFrame, keys: Sequence[str] = RALLY, hz: float = 12.5, gap: float = 0.25, max_points: int = 2400,
+def thin(points: DataFrame, keys: Sequence[str] = RALLY, hz: float = 12.5, gap: float = 0.25, max_points: int | None = None,
          tie: Sequence[str] = ()) -> DataFrame:
     """WIN-21: thin flights to ``hz`` but keep their first and last points, so dropouts stay visible. Above
-    ``max_points`` the interval widens and the track is truncated. The next due time depends on the
+    ``max_points``, off by default, the interval widens; no flight is cut off. The next due time depends on the
     last emitted point, and every flight emits its first, so the walk runs per flight."""
     keys = as_list(keys)
     d = tile_scan(points, keys, "t", tie=tie, break_on=["t"], breaks=lambda c, p: c("t") - p("t") > gap, seg="_piece", nxt={"_nt": F.col("t")})
@@ -35,11 +35,12 @@ def thin(points: DataFrame, keys: Sequence[str] = RALLY, hz: float = 12.5, gap:
         return ordered_fold(d, [*keys, "_piece"], ["t", *tie], walk, schema, [*cols, "_last", "_every"])
 
     base = emit(d.withColumn("_every", F.lit(1.0 / max(hz, 1.0))))
+    if max_points is None:
+        return base.select(*points.columns)
     size = base.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("t").alias("_t0"), F.max("t").alias("_t1"))
     over = size.filter(F.col("_n") > max_points).select(
         *keys, F.greatest(F.lit(1.0 / max(hz, 1.0)), F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1e-6)) / max_points).alias("_every"))
     wide = emit(d.join(over, keys))
-    wide = tile_scan(wide, keys, "t", tie=["_piece", *tie], csum={"_i": F.lit(1)}).filter(F.col("_i") <= max_points)
     return base.join(over, keys, "left_anti").select(*points.columns).union(wide.select(*points.columns))
 
 
