@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a document of nothing else goes with them."""
-    cleaned, removed = linededup.dedup_lines(docs)
+    cleaned, removed = linededup.dedup_passages(docs)
     left = cleaned.where((F.col(removed) == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 

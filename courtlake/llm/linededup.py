@@ -1,4 +1,12 @@
-"""Repeated multi-line passages, by content-defined chunks of lines.
+"""Repeated passages, by content-defined chunks of lines and by windows of words.
+
+``dedup_passages`` is the whole job. Its anchors are the chunks of ``dedup_lines`` and windows of ``WINDOW`` words, chosen as
+the least hash of every ``SURE - WINDOW + 1`` neighbouring ones (winnowing): two places that share ``SURE`` words share an
+anchor, whatever lines or sentences they stand in. An anchor that stood before is compared with its first place word by
+word, extended to both sides as far as the words agree, and goes; the first place stays. Every word that goes is thus
+held by an earlier place. Words are what white space parts; the white space itself is not compared.
+
+``dedup_lines`` is the step by chunks alone:
 
 A text is a run of lines; a long line counts as the run of its sentences. A rolling hash over the hashes of two
 neighbouring lines chooses where a chunk ends, so a passage is cut alike wherever it stands. A chunk of two lines or
@@ -11,8 +19,10 @@ one fate; a text may become empty; further columns pass through untouched, whate
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,6 +32,9 @@ from .common import stored
 
 LONG_LINE = 300      # characters from which a line counts as its sentences
 LEAST_UNITS, MOST_UNITS, LEAST_WORDS = 2, 12, 12
+WINDOW, SURE = 16, 50     # words of a window; words from which a repeat is found wherever it stands
+REACH = SURE - WINDOW + 1  # an anchor is extended so far at least; behind that, the next one stands
+BLOCK = 32                # words of the pieces in which first places are sent
 _ROLL, _MASK = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
 
 
@@ -137,3 +150,144 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     schema = docs.select(*columns).withColumn(text_col, F.col(text_col).cast("string")).withColumn(removed, F.lit(0)).schema
     return marked.select(*[F.col(c).cast("string") if c == text_col else F.col(c) for c in columns], gone.alias(removed)).mapInArrow(without, schema), removed
+
+
+_WORD = re.compile(r"\S+")
+
+
+def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the chosen windows."""
+    n = len(words) - WINDOW + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        grams = np.zeros(n, np.uint64)
+        for k in range(WINDOW):
+            grams = grams * np.uint64(_ROLL) + own[k:k + n]
+        grams ^= grams >> np.uint64(31)
+        grams *= np.uint64(0xBF58476D1CE4E5B9)
+        grams ^= grams >> np.uint64(29)
+    reach = min(REACH, n)
+    least = np.lib.stride_tricks.sliding_window_view(grams[::-1], reach).argmin(1)      # backwards: the last of equal ones
+    at = np.unique(n - 1 - (least + np.arange(len(least))))
+    return at, grams[at].view(np.int64)
+
+
+def anchors(text: str) -> list[tuple[int, int, int]]:
+    """Hash, first word and number of words of each anchor."""
+    parts = units(text)
+    counts = [len(p.split()) for p in parts]
+    ends = np.concatenate(([0], np.cumsum(counts))).tolist()
+    out = [(_hash(body), ends[a], ends[b] - ends[a]) for a, b in chunks(parts) if b - a >= LEAST_UNITS and _eligible(parts, a, b, body := " ".join(_body(parts, a, b).split()))]
+    at, hs = windows(text.split())
+    return out + [(h, a, WINDOW) for h, a in zip(hs.tolist(), at.tolist())]
+
+
+def _take_out(text: str, own: list[dict], pieces: list[dict], me: tuple) -> tuple[str, int]:
+    """``text`` without what its anchors repeat, and how many passages went."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    words = [text[a:b] for a, b in spans]
+    first = {}
+    for p in pieces:
+        first.setdefault((p["sid"], p["srow"]), {})[p["b"]] = p["piece"].split(" ")
+    gone, done = bytearray(len(words)), {}
+    for m in sorted(own, key=lambda m: m["at"]):
+        source, at, n, shift = first.get((m["sid"], m["srow"]), {}), m["at"], m["n"], m["at"] - m["sat"]
+
+        if at + n <= done.get(run := (m["sid"], m["srow"], shift), 0):
+            continue                                        # the run of an anchor before holds it
+
+        def same(i: int) -> bool:
+            k = i - shift
+            piece = source.get(k // BLOCK) if k >= 0 else None
+            return piece is not None and k % BLOCK < len(piece) and piece[k % BLOCK] == words[i]
+
+        if (m["sid"], m["srow"]) == me and shift < n or not all(map(same, range(at, at + n))):
+            continue                                        # it overlaps its own first place, or only the hashes are equal
+        a, b = at, at + n
+        while a > 0 and same(a - 1):
+            a -= 1
+        while b < len(words) and same(b):
+            b += 1
+        gone[a:b] = b"\1" * (b - a)
+        done[run] = b
+    out, kept_to, count, i = [], 0, 0, 0
+    while (a := gone.find(1, i)) >= 0:
+        b = gone.find(0, a)
+        b = len(words) if b < 0 else b
+        before = text[spans[a - 1][1] if a else 0:spans[a][0]]
+        after = text[spans[b - 1][1]:spans[b][0] if b < len(words) else len(text)]
+        out.append(text[kept_to:spans[a][0] - len(before)])
+        if a and b < len(words):
+            out.append(before if "\n" in before or "\n" not in after else after)
+        kept_to, i, count = spans[b - 1][1] + len(after), b, count + 1
+        if b == len(words):
+            break
+    return ("".join(out) + text[kept_to:], count) if count else (text, 0)
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with repeated passages taken out of ``text_col``, and a column that counts them; its name."""
+    columns = docs.columns
+    row, marks, found_pieces, removed = (_free(n, columns) for n in ("_row", "_marks", "_pieces", "n_removed"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.withColumn(row, F.hash(F.col(id_col), F.col(text_col)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, hs, at, size = [], [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                for h, a, n in anchors(text) if text else ():
+                    of.append(k)
+                    hs.append(h)
+                    at.append(a)
+                    size.append(n)
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(size, pa.int32())], ["h", "id", "row", "at", "n"])
+
+    places = stored(docs.select(id_col, row, F.col(text_col).cast("string")).mapInArrow(cut, f"h long, id {kind}, row int, at int, n int"), "anchors")
+    often = stored(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select(F.col("h").alias("h2")), "often")      # hashes alone, as most places are single
+    places = stored(places.join(often, F.col("h") == F.col("h2"), "left_semi"), "repeated")
+    here = F.struct("id", "row", "at", "n")
+    twice = stored(places.groupBy("h").agg(F.min(here).alias("first")).select(F.col("h").alias("h2"), "first"), "first")      # a join of its own, so that Spark can split a common hash
+    mark = F.struct("at", "n", F.col("first.id").alias("sid"), F.col("first.row").alias("srow"), F.col("first.at").alias("sat"), (~here.eqNullSafe(F.col("first"))).alias("drop"))
+    found = places.join(twice, F.col("h") == F.col("h2")).groupBy(F.col("id").alias("_id"), F.col("row").alias("_r")).agg(F.collect_set(mark).alias(marks))
+    marked = stored(docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(row) == F.col("_r")), "left").select(*columns, row, marks), "marked")
+
+    def first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, bs, out = [], [], []
+            for k, (text, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                words = text.split()
+                for b in sorted({b for m in own for b in range(max(m["at"] - REACH, 0) // BLOCK, (min(m["at"] + m["n"] + REACH, len(words)) - 1) // BLOCK + 1)}):
+                    of.append(k)
+                    bs.append(b)
+                    out.append(" ".join(words[b * BLOCK:(b + 1) * BLOCK]))
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(bs, pa.int32()), pa.array(out, pa.string())], ["sid", "srow", "b", "piece"])
+
+    goes, stays = F.filter(marks, lambda m: m["drop"]), F.filter(marks, lambda m: ~m["drop"])
+    some = lambda a: F.coalesce(F.size(a) > 0, F.lit(False))
+    first = marked.where(some(stays)).select(id_col, row, F.col(text_col).cast("string"), stays.alias(marks)).mapInArrow(first_places, f"sid {kind}, srow int, b int, piece string").dropDuplicates(["sid", "srow", "b"])
+    wanted = lambda m: F.transform(F.sequence(F.floor(F.greatest(m["sat"] - REACH, F.lit(0)) / BLOCK).cast("int"), F.floor((m["sat"] + m["n"] + REACH - 1) / BLOCK).cast("int")), lambda b: F.struct(m["sid"].alias("sid"), m["srow"].alias("srow"), b.alias("b")))
+    asked = marked.where(some(goes)).select(F.col(id_col).alias("_id"), F.col(row).alias("_r"), F.explode(F.array_distinct(F.flatten(F.transform(goes, wanted)))).alias("k"))
+    asked = asked.select("_id", "_r", F.col("k.sid").alias("_s"), F.col("k.srow").alias("_sr"), F.col("k.b").alias("_b"))
+    pieces = asked.join(first, F.col("_s").eqNullSafe(F.col("sid")) & (F.col("_sr") == F.col("srow")) & (F.col("_b") == F.col("b"))).groupBy("_id", "_r").agg(F.collect_set(F.struct("sid", "srow", "b", "piece")).alias(found_pieces))
+    ready = marked.where(some(goes)).join(pieces, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(row) == F.col("_r")), "left")
+    where, width = columns.index(text_col), len(columns)
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = batch.column(where).to_pylist(), []
+            mine = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), batch.column(width + 3).to_pylist())
+            for k, (i, r, own, got) in enumerate(mine):
+                texts[k], n = _take_out(texts[k], own, got or [], (i, r))
+                counts.append(n)
+            arrays = [batch.column(c) if c != where else pa.array(texts, pa.string()) for c in range(width)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int32())], [*columns, removed])
+
+    given = [F.col(c).cast("string") if c == text_col else F.col(c) for c in columns]
+    schema = docs.select(*given).withColumn(removed, F.lit(0)).schema
+    changed = ready.select(*given, F.col(id_col).alias("_own"), row, goes.alias(marks), found_pieces).mapInArrow(without, schema)
+    return marked.where(~some(goes)).select(*given, F.lit(0).alias(removed)).unionByName(changed), removed

@@ -81,7 +81,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned, removed = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned, removed = linededup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", F.col(removed).alias("n_removed"), F.length("text").alias("n_chars"), "text")
 
 
