@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, crossentropy, decontaminate, jaccard, licenses, linededup, packing, pii, quality, toolcalls
+from . import classifier, crossentropy, decontaminate, jaccard, licenses, linededup, packing, pii, quality, simhash, spelling, toolcalls, whitening
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -95,3 +95,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[F.size(pii.only([k])).cast("long").alias(f"n_{k}") for k in pii.BASE], F.sha2(pii.joined(pii.only(pii.BASE)), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, shown = table(spark, sf_dir, "embeddings"), 4
+    vectors, d = whitening.fit_list(rows)
+    model = whitening.fit(vectors, d)
+    share = F.array(*[F.lit(float(e) / model.trace) for e in model.eigenvalues[:shown]]).cast("array<double>")
+    out = whitening.whiten(rows, model, shown).select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select(
+        F.col("id").alias("vec_id"), (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened", F.get(share, F.col("at")).alias("explained"), F.lit(whitening.identity_error(vectors, model, shown)).alias("identity_error"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash_near_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.join(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
