@@ -2,9 +2,11 @@
 
 A plain ``Window.partitionBy(keys)`` puts one game into one task. Here every group is cut into time
 tiles first: rows are windowed inside (keys, tile), one summary row per tile is scanned over the
-group, and the summary's carry is joined back. The big side shuffles once, by (keys, tile), so a
-game that holds a third of all rows spreads over as many tasks as it has tiles. Results equal the
-plain window exactly.
+group, and the summary's carry is joined back. A game that holds a third of all rows spreads over as
+many tasks as it has tiles. Results equal the plain window exactly.
+
+The rows are shuffled once, by (keys, tile). Windows and summaries both read that one exchange, so the input is
+read and computed once, however many scans follow: see :func:`lay_out`.
 
 Keys and the order column must not be null.
 """
@@ -35,10 +37,31 @@ def tile_seconds(df: DataFrame, keys: Sequence[str], t: str, rows: int = 1_000_0
     return TILE_S if w is None or w <= 0 else float(w)
 
 
-def value_tile(v: str, per_octave: int = 256) -> Column:
-    """Monotone tiles for values of unknown range: equal steps in log2(1 + |v|)."""
+def value_tile(v: str, per_octave: int = 1024) -> Column:
+    """Monotone tiles for values of any scale: equal steps in log2 |v|, so that tiny values spread like large ones."""
     c = F.col(v).cast("double")
-    return F.floor(F.signum(c) * F.log2(F.lit(1.0) + F.abs(c)) * F.lit(float(per_octave)))
+    steps = F.floor((F.log2(F.abs(c)) + F.lit(1100.0)) * F.lit(float(per_octave)))      # the least double lies at -1074
+    return F.when(c > 0, steps).when(c < 0, -steps).otherwise(F.lit(0).cast("long"))
+
+
+TILE = "_tile"
+
+
+def lay_out(df: DataFrame, keys: Sequence[str], t: str, tile: Column | None = None) -> DataFrame:
+    """``df`` shuffled by (keys, tile), with the tile as a further column. Scans over the result keep that layout and share its
+    exchange.
+
+    Spark computes an exchange once for all that read it, if they read the same columns. The rows travel as
+    one packed column, so that whatever a reader uses, the exchange is the same; what nobody needs should be left out before."""
+    keys = as_list(keys)
+    d = df.withColumn(TILE, time_tile(t) if tile is None else tile)
+    for c in (*keys, TILE):
+        d = d.filter(F.col(c).isNotNull())
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return d.repartition(*keys, TILE)
+    d = d.select(*keys, TILE, F.array(F.struct(*rest)).alias("_packed")).repartition(*keys, TILE)
+    return d.select(*[c if c in keys else F.element_at("_packed", 1)[c].alias(c) for c in df.columns], TILE)
 
 
 def tile_scan(
@@ -68,12 +91,14 @@ def tile_scan(
     ffill/bfill  last / next non-null value, this row included
     breaks       ``breaks(cur, prev)`` says whether a row starts a new segment; ``seg`` counts them
                  from 0. ``break_on`` lists the columns it reads.
+
+    A ``df`` from :func:`lay_out` (same keys) is scanned as it lies and keeps its tile column for the next scan.
     """
     keys, tie, break_on = as_list(keys), as_list(tie), as_list(break_on)
     prev, nxt, csum, cmax, total = prev or {}, nxt or {}, csum or {}, cmax or {}, total or {}
     ffill, bfill = ffill or {}, bfill or {}
     before = df.columns
-    d = df.withColumn("_tile", time_tile(t) if tile is None else tile)
+    d = df if TILE in before else lay_out(df, keys, t, tile)
     order = [F.col(t), *map(F.col, tie)]
     rank = F.struct(*order)
     w = Window.partitionBy(*keys, "_tile").orderBy(*order)
@@ -168,30 +193,51 @@ def with_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame
     return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, specs: Mapping[str, float | str]) -> DataFrame:
-    """Exact order statistics per group without gathering a group.
+def quantiles(df: DataFrame, keys: Sequence[str], value: str | Mapping[str, Mapping[str, float | str]], specs: Mapping[str, float | str] | None = None) -> DataFrame:
+    """Exact order statistics per group without gathering a group, from one read whatever the number of columns.
 
     ``specs`` maps an output name to a fraction in 0..1 (linear interpolation between closest
-    ranks) or to ``"upper"`` (element n//2 of the sorted values). Equal values are counted before
-    the shuffle; ranks come from a tiled running count over the distinct values.
+    ranks) or to ``"upper"`` (element n//2 of the sorted values); ``value`` names its column, or maps several columns to
+    their specs. Equal values are counted before the shuffle. A histogram of the distinct ones, by tile, finds the tiles that hold
+    the ranks; only there values are ranked. A group in which a column is null throughout shows null for it.
     """
     keys = as_list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_q")).agg(F.count("*").alias("_n"))
-    ranked = tile_scan(counts, keys, "_q", csum={"_cum": F.col("_n")}, total={"_tot": F.col("_n")}, tile=value_tile("_q"))
+    wanted = {value: dict(specs)} if isinstance(value, str) else {c: dict(s) for c, s in value.items()}
+    cols = list(wanted)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("_e")
+    d = df.select(*keys, each).select(*keys, F.col("_e.c").alias("_c"), F.col("_e.v").alias("_q")) if len(cols) > 1 else df.select(*keys, F.lit(0).alias("_c"), F.col(cols[0]).alias("_q"))
+    by = [*keys, "_c"]
+    counts = lay_out(d.filter(F.col("_q").isNotNull()).groupBy(*by, "_q").agg(F.count("*").alias("_n")), by, "_q", value_tile("_q"))
+    # the positions that are asked for, by column: (position below, position above, weight of the one above)
+    n = F.col("_tot")
+
+    def position(spec):
+        return F.floor(n / 2).cast("double") if spec == "upper" else (n - 1) * F.lit(float(spec))
+
+    asked = F.lit(None).cast("array<double>")
+    for i, c in enumerate(cols):
+        asked = F.when(F.col("_c") == i, F.array(*[position(x) for x in wanted[c].values()])).otherwise(asked)
+    hist = counts.groupBy(*by, TILE).agg(F.sum("_n").alias("_tn"))
+    w = Window.partitionBy(*by).orderBy(TILE)
+    hist = hist.withColumns({"_before": F.coalesce(F.sum("_tn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                             "_tot": F.sum("_tn").over(Window.partitionBy(*by))}).withColumn("_at", asked)
+    within = lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_tn"))
+    hist = hist.filter(F.exists("_at", lambda p: within(F.floor(p)) | within(F.ceil(p)))).select(*by, TILE, "_before", "_at")
+    r = counts.join(hist, [*by, TILE])
+    cum = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, TILE).orderBy("_q").rowsBetween(Window.unboundedPreceding, 0))
+    r = r.withColumn("_cum", cum)
 
     def at(pos: Column) -> Column:
-        return F.max(F.when((F.col("_cum") - F.col("_n") <= pos) & (pos < F.col("_cum")), F.col("_q")))
+        return F.when((F.col("_cum") - F.col("_n") <= pos) & (pos < F.col("_cum")), F.col("_q"))
 
     aggs = []
-    for name, spec in specs.items():
-        if spec == "upper":
-            aggs.append(at(F.floor(F.col("_tot") / 2)).alias(name))
-        else:
-            pos = (F.col("_tot") - 1) * F.lit(float(spec))
-            lo, hi = at(F.floor(pos)), at(F.ceil(pos))
-            frac = F.max(pos - F.floor(pos))
-            aggs.append((lo + (hi - lo) * frac).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs)
+    for i, c in enumerate(cols):
+        for k, (name, spec) in enumerate(wanted[c].items()):
+            mine = F.when(F.col("_c") == i, F.get("_at", F.lit(k)))
+            lo, hi = F.max(at(F.floor(mine))), F.max(at(F.ceil(mine)))
+            frac = F.max(mine - F.floor(mine))
+            aggs.append((lo if spec == "upper" else lo + (hi - lo) * frac).alias(name))
+    return r.groupBy(*keys).agg(*aggs)
 
 
 def top_n(df: DataFrame, keys: Sequence[str], by: Sequence[Column], n: int | None, out: str = "rn") -> DataFrame:
