@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import ordered_fold
-from .tiles import as_list, row_index, sessionize, tile_scan
+from .tiles import as_list, row_index, sessionize, shared, tile_scan
 
 
 def _struct(cols: Sequence[str]) -> Column:
@@ -72,7 +72,9 @@ def interpolate_by_id(grid: DataFrame, frames: DataFrame, on: Sequence[str], col
     """JOIN-4: boxes or joints per id between two frames. An id seen on both sides is interpolated (not
     across a change of ``seg``); an id seen on one side shows only close to its frame and on its half."""
     on = as_list(on)
-    times = frames.select(*on, "t").distinct()
+    frames = shared(frames.select(*on, "t", F.col("t").alias("_at"), id, *cols, "confidence", *([seg] if seg else [])), [*on, "t"])
+    times = frames.select(*on, F.col("_at").alias("t")).distinct()      # off the packed copy, as all that read the frames
+    frames = frames.drop("_at")
     g = bracket(grid.select(*on, "t").distinct(), times, on, [], grid_first=False)
     g = g.join(times.groupBy(*on).agg(F.min("t").alias("_first")), on)
     t = F.col("t")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .asof import greedy_match, nearest_time
-from .tiles import as_list, quantiles, tile_scan, with_totals
+from .tiles import as_list, quantiles, rows_of, shared, tile_scan, with_totals
 
 RALLY = ("job_id", "rally_index")
 
@@ -29,13 +29,14 @@ def shuttle_f1(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = RALLY, tol_
                fps: float = 30.0, id: str = "id") -> DataFrame:
     """AGG-15: precision, recall, F1 of points matched in time and within ``tol_px``."""
     keys = as_list(keys)
-    vis = gt.filter(F.coalesce("visible", F.lit(True)))
+    pred = shared(pred.select(*keys, "t", id, "x", "y"), [*keys, "t"])
+    vis = shared(gt.filter(F.coalesce("visible", F.lit(True))).select(*keys, "t", id, "x", "y"), [*keys, "t"])
     m = greedy_match(pred, vis, keys, 0.5 / max(fps, 1.0), id)
     m = m.join(pred.select(*keys, F.col(id).alias("pred_id"), F.struct("x", "y").alias("_p")), [*keys, "pred_id"])
     m = m.join(vis.select(*keys, F.col(id).alias("gt_id"), F.struct("x", "y").alias("_g")), [*keys, "gt_id"])
     near = F.hypot((F.col("_p.x") - F.col("_g.x")) * wh[0], (F.col("_p.y") - F.col("_g.y")) * wh[1]) <= tol_px
     tp = m.filter(near).groupBy(*keys).agg(F.count("*").alias("tp"))
-    n = pred.groupBy(*keys).agg(F.count("*").alias("n_pred")).join(vis.groupBy(*keys).agg(F.count("*").alias("n_visible")), keys, "full")
+    n = pred.groupBy(*keys).agg(rows_of("x").alias("n_pred")).join(vis.groupBy(*keys).agg(rows_of("x").alias("n_visible")), keys, "full")
     d = n.join(tp, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tp", "n_pred", "n_visible")})
     p = F.coalesce(F.try_divide("tp", "n_pred"), F.lit(0.0))
     r = F.coalesce(F.try_divide("tp", "n_visible"), F.lit(0.0))

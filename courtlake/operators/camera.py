@@ -9,7 +9,7 @@ from ..session import cut_lineage
 from .asof import bracket, fill_unseen
 from .intervals import events_in
 from .smoothing import hann, hann_short
-from .tiles import as_list, quantiles, tile_scan, with_totals
+from .tiles import as_list, quantiles, shared, tile_scan, with_totals
 
 RALLY = ("job_id", "rally_index")
 
@@ -26,6 +26,7 @@ def map_time(points: DataFrame, clips: DataFrame, src: str = "reel", key: str =
     """JOIN-17: reel clock to source clock (``src="reel"``) or back. Inside a clip the offset is linear.
     Outside, a reel time clamps to the clip that started last; a source time snaps to the next cut."""
     length = F.col("t1_reel") - F.col("t0_reel")
+    clips, points = shared(clips.select(key, "pos", "t0_reel", "t1_reel", "source_start"), [key, "pos"]), shared(points, [key, "t"])
     c = clips.select(key, "pos", "t0_reel", "t1_reel", "source_start", (F.col("source_start") + length).alias("source_end"))
     lo, hi = ("t0_reel", "t1_reel") if src == "reel" else ("source_start", "source_end")
     offset = F.col("source_start") + F.col("t") - F.col("t0_reel") if src == "reel" else F.col("t0_reel") + F.col("t") - F.col("source_start")
@@ -79,6 +80,7 @@ def order_clips(clips: DataFrame, key: str = "job_id", recorded: str = "recorded
 def slice_keyframes(clips: DataFrame, keyframes: DataFrame, key: str = "job_id", clip: str = "pos",
                     cols: Sequence[str] = ("target", "zoom"), id: str = "kf_id") -> DataFrame:
     """JOIN-18: a clip's keyframes on the source clock: the one active at its start, then those strictly inside."""
+    clips, keyframes = shared(clips.select(key, clip, "t0_reel", "t1_reel", "source_start"), [key, clip]), shared(keyframes.select(key, "t", id, *cols), [key, "t"])
     starts = clips.select(key, clip, F.col("t0_reel").alias("t"), "source_start")
     seeded = bracket(starts, keyframes.select(key, "t", id, *cols), [key], [id, *cols], order=[id], grid_first=False)
     seed = seeded.withColumn("k", F.coalesce("a", "b")).filter("k is not null").select(
@@ -177,5 +179,4 @@ def follow_targets(grid: DataFrame, rallies: DataFrame, keys: Sequence[str] = RA
 def static_framing(path: DataFrame, keys: Sequence[str] = RALLY) -> DataFrame:
     """AGG-30: one safe framing per rally: median centre, no zoom."""
     keys = as_list(keys)
-    mx, my = (quantiles(path, keys, c, {c: 0.5}) for c in "xy")
-    return mx.join(my, keys).withColumn("z", F.lit(1.0))
+    return quantiles(path, keys, {c: {c: 0.5} for c in "xy"}).withColumn("z", F.lit(1.0))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import COURT_L, COURT_W, court_project, quad_homography, valid_corners, valid_quad
 from ..functions.scalar import clamp
-from .tiles import as_list, quantiles, tile_scan, with_totals
+from .tiles import TILE, as_list, lay_out, quantiles, tile_scan, value_tile, with_totals
 
 RALLY = ("job_id", "rally_index")
 
@@ -99,7 +99,7 @@ def corner_medians(detections: DataFrame, keys: Sequence[str] = ("job_id",)) ->
     keys = as_list(keys)
     pts = detections.select(*keys, F.posexplode("corners").alias("corner", "p")).select(
         *keys, "corner", F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("p")[0].alias("v")), F.struct(F.lit(1).alias("axis"), F.col("p")[1].alias("v")))).alias("c"))
-    pts = pts.select(*keys, "corner", "c.axis", "c.v")
+    pts = lay_out(pts.select(*keys, "corner", "c.axis", "c.v"), [*keys, "corner", "axis"], "v", value_tile("v")).drop(TILE)
     per = pts.groupBy(*keys, "corner", "axis").agg(F.stddev_pop("v").alias("sd"), F.count("*").alias("n")).join(
         quantiles(pts, [*keys, "corner", "axis"], "v", {"mid": 0.5}), [*keys, "corner", "axis"])
     # eight rows per job

@@ -4,17 +4,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tiles import as_list, sessionize, tile_scan, top_n, with_totals
+from .tiles import TILE, as_list, lay_out, sessionize, shared, tile_scan, top_n, with_totals
 
 BUCKET_S = 60.0
 
 
 def _islands(iv: DataFrame, keys: list, slack: float, closed: bool, tie: Sequence[str]) -> DataFrame:
     """Number runs of intervals that touch: a new one starts past the furthest earlier end + slack."""
-    d = tile_scan(iv, keys, "start_s", tie=tie, cmax={"_reach": F.col("end_s")})
+    d = tile_scan(lay_out(iv, keys, "start_s"), keys, "start_s", tie=tie, cmax={"_reach": F.col("end_s")})
     past = F.col("start_s") > F.col("_reach") + slack if closed else F.col("start_s") >= F.col("_reach") + slack
     d = d.withColumn("_new", F.coalesce(past.cast("int"), F.lit(0)))
-    return tile_scan(d, keys, "start_s", tie=tie, csum={"island": F.col("_new")}).drop("_new", "_reach")
+    return tile_scan(d, keys, "start_s", tie=tie, csum={"island": F.col("_new")}).drop("_new", "_reach", TILE)
 
 
 def merge_overlaps(iv: DataFrame, keys: Sequence[str] = ("job_id",), slack: float = -0.5,
@@ -22,6 +22,7 @@ def merge_overlaps(iv: DataFrame, keys: Sequence[str] = ("job_id",), slack: floa
     """WIN-1: merge intervals that overlap by more than ``-slack``; furthest end, highest intensity, first note."""
     keys = as_list(keys)
     first = F.struct("start_s", *tie)
+    iv = iv.select(*dict.fromkeys([*keys, "start_s", "end_s", "intensity", "note", *tie]))
     return (_islands(iv, keys, slack, False, tie).groupBy(*keys, "island")
             .agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("intensity").alias("intensity"),
                  F.min_by("note", first).alias("note"))
@@ -58,14 +59,15 @@ def timeline(all_rallies: DataFrame, selected: DataFrame, durations: DataFrame,
     """WIN-5: every rally plus explicit no-play rows of at least ``min_gap`` seconds."""
     key = F.round("start_s", 2)
     sel = selected.select("job_id", key.alias("_key")).distinct().withColumn("in_reel", F.lit(True))
-    rows = all_rallies.filter(F.col("end_s") > F.col("start_s")).withColumn("_key", key)
-    rows = tile_scan(rows, ["job_id"], "start_s", tie=tie, cmax={"_reach": F.col("end_s")})
+    given = all_rallies.select(*dict.fromkeys(["job_id", "start_s", "end_s", "intensity", "note", *tie])).filter(F.col("end_s") > F.col("start_s"))
+    laid = lay_out(given.withColumn("_key", key), ["job_id"], "start_s")
+    rows = tile_scan(laid, ["job_id"], "start_s", tie=tie, cmax={"_reach": F.col("end_s")})
     rows = rows.withColumn("_cursor", F.greatest(F.coalesce("_reach", F.lit(0.0)), F.lit(0.0)))
     play = rows.join(sel, ["job_id", "_key"], "left").select(
         "job_id", F.lit("rally").alias("kind"), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("dur"),
         "intensity", "note", F.coalesce("in_reel", F.lit(False)).alias("in_reel"))
     between = rows.select("job_id", F.col("_cursor").alias("start_s"), F.col("start_s").alias("end_s"))
-    reach = all_rallies.filter(F.col("end_s") > F.col("start_s")).groupBy("job_id").agg(F.max("end_s").alias("_end"))
+    reach = laid.groupBy("job_id").agg(F.max("end_s").alias("_end"))
     tail = durations.join(reach, "job_id", "left").select(
         "job_id", F.greatest(F.coalesce("_end", F.lit(0.0)), F.lit(0.0)).alias("start_s"), F.col("duration").alias("end_s"))
     gaps = between.union(tail).withColumn("dur", F.col("end_s") - F.col("start_s")).filter(F.col("dur") >= min_gap)
@@ -112,6 +114,7 @@ def refine_with_audio(rallies: DataFrame, peaks: DataFrame, durations: DataFrame
                       thin: int = 10) -> DataFrame:
     """WIN-13: when rallies tile the game implausibly, shrink them to their impact clusters. A game with
     too little audio, a healthy coverage, or no surviving window keeps its rallies unchanged."""
+    rallies, peaks = shared(rallies, ["job_id", "start_s"]), shared(peaks.select("job_id", "t", "peak_id"), ["job_id", "t"])
     cover = rallies.groupBy("job_id").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("_play"))
     heard = peaks.groupBy("job_id").agg(F.count("t").alias("_n"))
     suspect = (cover.join(heard, "job_id").join(durations, "job_id")

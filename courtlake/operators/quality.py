@@ -1,14 +1,13 @@
 """Scores, audits and gates over tracks, paths and shots."""
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import NET_Y
 from ..functions.scalar import basename, clamp, clamp01, short_text
-from ..session import cut_lineage
 from .folds import ordered_fold
-from .tiles import as_list, quantiles, tile_scan, top_n, with_totals
+from .tiles import as_list, lay_out, quantiles, rows_of, shared, tile_scan, top_n, with_totals
 
 RALLY = ("job_id", "rally_index")
 
@@ -34,7 +33,7 @@ def shuttle_quality(points: DataFrame, durations: DataFrame, keys: Sequence[str]
                     jump: float = 0.22, tie: Sequence[str] = ()) -> DataFrame:
     """AGG-2: coverage x longest gap x teleports. Without ``fps`` the track's own median step sets it."""
     keys = as_list(keys)
-    d = tile_scan(points, keys, "t", tie=tie, prev={"_p": F.struct("t", "x", "y")})
+    d = tile_scan(points.select(*dict.fromkeys([*keys, "t", "x", "y", *tie])), keys, "t", tie=tie, prev={"_p": F.struct("t", "x", "y")})
     d = d.select(*keys, (F.col("t") - F.col("_p.t")).alias("_dt"), F.hypot(F.col("x") - F.col("_p.x"), F.col("y") - F.col("_p.y")).alias("_hop"))
     if fps is None:
         step = quantiles(d.filter("_dt > 0"), keys, "_dt", {"_step": "upper"})
@@ -101,10 +100,7 @@ def action_band(boxes: DataFrame, points: DataFrame, keys: Sequence[str] = RALLY
     """AGG-21: one zoom per rally from the vertical band the play lives in; the least zoom and the whole height for a
     rally without boxes."""
     keys = as_list(keys)
-    lo = quantiles(boxes, keys, "y1", {"_lo": 0.05})
-    hi = quantiles(boxes, keys, "y2", {"_hi": 0.95})
-    sh = quantiles(points, keys, "y", {"_sh": 0.15}).join(points.groupBy(*keys).agg(F.count("y").alias("_n")), keys)
-    d = lo.join(hi, keys).join(sh, keys, "full")
+    d = quantiles(boxes, keys, {"y1": {"_lo": 0.05}, "y2": {"_hi": 0.95}}).join(quantiles(points, keys, "y", {"_sh": 0.15, "_n": "count"}), keys, "full")
     low = F.col("_lo") - pad_t
     low = F.when(F.col("_n") >= 8, F.least(low, F.col("_sh") - 0.02)).otherwise(low)
     high = F.col("_hi") + pad_b
@@ -117,16 +113,15 @@ def path_smoothness(path: DataFrame, keys: Sequence[str] = RALLY, cw: float = 0.
                     limits: tuple[float, float, float] = (0.05, 0.05, 0.006), tie: Sequence[str] = ()) -> DataFrame:
     """AGG-22: 99th percentile of camera acceleration relative to the crop."""
     keys = as_list(keys)
-    d = tile_scan(path, keys, "t", tie=tie, prev={"_p": F.struct("x", "y", "z")}, nxt={"_n": F.struct("x", "y", "z")})
+    d = tile_scan(path.select(*dict.fromkeys([*keys, "t", "x", "y", "z", *tie])), keys, "t", tie=tie, prev={"_p": F.struct("x", "y", "z")}, nxt={"_n": F.struct("x", "y", "z")})
 
     def accel(c: str, unit: Column) -> Column:
         return F.abs((F.col(f"_n.{c}") - 2 * F.col(c) + F.col(f"_p.{c}")) / unit)
 
     z = F.col("z")
     d = d.withColumns({"_ax": accel("x", cw / (2 * z)), "_ay": accel("y", ch / (2 * z)), "_az": accel("z", z)})
-    n = d.groupBy(*keys).agg(F.count("*").alias("_n"))
-    for c in ("ax", "ay", "az"):
-        n = n.join(quantiles(d, keys, f"_{c}", {f"_{c}": 0.99}), keys, "left")
+    n = d.groupBy(*keys).agg(rows_of("x").alias("_n"))
+    n = n.join(quantiles(d, keys, {f"_{c}": {f"_{c}": 0.99} for c in ("ax", "ay", "az")}), keys, "left")
     short = F.col("_n") < 5
     out = {f"{c}99": F.when(short, 0.0).otherwise(F.col(f"_{c}")) for c in ("ax", "ay", "az")}
     d = n.withColumns(out)
@@ -159,10 +154,11 @@ def jerk_audit(shifts: DataFrame, cuts: DataFrame, keys: Sequence[str] = ("clip_
     from .intervals import events_in
 
     keys = as_list(keys)
-    d = tile_scan(shifts, keys, "frame_no", prev={"_p": F.struct("dx", "dy")}, tile=F.floor(F.col("frame_no") / 20000))
+    shifts = lay_out(shifts.select(*keys, "frame_no", "dx", "dy"), keys, "frame_no", F.floor(F.col("frame_no") / 20000))
+    d = tile_scan(shifts, keys, "frame_no", prev={"_p": F.struct("dx", "dy")})
     d = d.filter("_p is not null").select(*keys, "frame_no", (F.col("frame_no") / fps).alias("t"),
                                           F.greatest(F.abs(F.col("dx") - F.col("_p.dx")), F.abs(F.col("dy") - F.col("_p.dy"))).alias("jerk"))
-    d = cut_lineage(d)                                 # one narrow row per frame, read several times below
+    d = shared(d, [*keys, "frame_no"])                 # one narrow row per frame, read several times below
     spans = cuts.select(*keys, F.col("t").alias("_c")).withColumns({"_lo": F.col("_c") - near, "_hi": F.col("_c") + near})
     hit = events_in(spans, d.select(*keys, "frame_no", "t"), keys, start="_lo", end="_hi").filter(F.abs(F.col("t") - F.col("_c")) < near)
     d = d.join(hit.select(*keys, "frame_no").distinct().withColumn("_cut", F.lit(True)), [*keys, "frame_no"], "left")
@@ -209,7 +205,8 @@ def first_ok(attempts: DataFrame, keys: Sequence[str] = RALLY) -> DataFrame:
 # -- 3D shots ------------------------------------------------------------------------------------
 def _crossings(samples: DataFrame, keys: list) -> DataFrame:
     """Sample steps that cross the net plane, with the next sample ``_n``."""
-    d = tile_scan(samples, keys, "t", tie=["k"], nxt={"_n": F.struct("x", "y", "z")})
+    w = Window.partitionBy(*keys).orderBy("t", "k")             # a shot has a dozen samples
+    d = samples.withColumn("_n", F.lead(F.struct("x", "y", "z")).over(w))
     da, db = F.col("y") - NET_Y, F.col("_n.y") - NET_Y
     crosses = ((da <= 0) & (db >= 0)) | ((db <= 0) & (da >= 0))
     share = F.abs(da) / F.greatest(F.abs(da) + F.abs(db), F.lit(1e-9))
@@ -220,6 +217,7 @@ def shot_gates(shots: DataFrame, samples: DataFrame, keys: Sequence[str] = ("job
     """WIN-34: the first physical law a fitted shot breaks, or null. ``shots`` carries p0_z, launch_ms and
     residual_px; ``samples`` t, k, x, y, z."""
     keys = as_list(keys)
+    samples = shared(samples.select(*keys, "t", "k", "x", "y", "z"), keys)
     s = samples.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))])
     net = _crossings(samples, keys).groupBy(*keys).agg(F.min("_z").alias("net_z"))
     d = shots.join(s, keys).join(net, keys, "left")
@@ -262,7 +260,7 @@ def prune_discontinuous(shots: DataFrame, keys: Sequence[str] = RALLY, dt: float
     Shots more than ``dt`` after everything before them can never form a bad pair with it, so long
     rallies are cut there."""
     keys = as_list(keys)
-    d = tile_scan(shots, keys, "t0", tie=["shot_id"], cmax={"_reach": F.col("t1")})
+    d = tile_scan(lay_out(shots, keys, "t0"), keys, "t0", tie=["shot_id"], cmax={"_reach": F.col("t1")})
     d = d.withColumn("_new", F.coalesce((F.col("t0") - F.col("_reach") > dt).cast("int"), F.lit(0)))
     d = tile_scan(d, keys, "t0", tie=["shot_id"], csum={"_piece": F.col("_new")})
     cols = ["shot_id", "t0", "t1", "residual_px", "end_x", "end_y", "end_z", "start_x", "start_y", "start_z"]

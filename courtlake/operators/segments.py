@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid, turn_cos
-from .tiles import as_list, quantiles, row_index, sessionize, tile_scan, with_totals
+from .tiles import TILE, as_list, lay_out, quantiles, row_index, sessionize, tile_scan, with_totals
 
 RALLY = ("job_id", "rally_index")
 
@@ -14,7 +14,7 @@ def flight_segments(points: DataFrame, keys: Sequence[str] = RALLY, gap: float =
                     min_speed: float = 0.15, min_dur: float = 0.4, tie: Sequence[str] = (), min_points: int = 3) -> DataFrame:
     """WIN-4: contiguous flights with median and top speed, and whether the shuttle was in play."""
     keys = as_list(keys)
-    d = points.filter(F.coalesce("confidence", F.lit(1.0)) >= min_conf)
+    d = points.filter(F.coalesce("confidence", F.lit(1.0)) >= min_conf).select(*dict.fromkeys([*keys, "t", "x", "y", *tie]))
     d = tile_scan(d, keys, "t", tie=tie, break_on=["t"], breaks=lambda c, p: c("t") - p("t") > gap,
                   prev={"_p": F.struct("t", "x", "y")})
     dt = F.col("t") - F.col("_p.t")
@@ -33,7 +33,7 @@ def split_shots(points: DataFrame, keys: Sequence[str] = RALLY, gap: float = 0.5
     """WIN-6: cut a track at detector gaps and at sharp turns; keep the long enough pieces, or the first
     ``max_segs`` of them."""
     keys = as_list(keys)
-    d = points.filter(F.coalesce("confidence", F.lit(1.0)) >= min_conf)
+    d = lay_out(points.filter(F.coalesce("confidence", F.lit(1.0)) >= min_conf), keys, "t")
     d = tile_scan(d, keys, "t", tie=tie, prev={"_p": F.struct("t", "x", "y")})
     dt = F.col("t") - F.col("_p.t")
     within = dt <= gap
@@ -52,13 +52,13 @@ def split_shots(points: DataFrame, keys: Sequence[str] = RALLY, gap: float = 0.5
     shots = row_index(segs, keys, "seg", out="shot", tile=F.floor(F.col("seg") / 4096)).select(*keys, "seg", "shot")
     if max_segs is not None:
         shots = shots.filter(F.col("shot") < max_segs)
-    return d.join(shots, [*keys, "seg"]).drop("_p", "_dt", "_vx", "_vy", "seg")
+    return d.join(shots, [*keys, "seg"]).drop("_p", "_dt", "_vx", "_vy", "seg", TILE)
 
 
 def sharpest_turn(points: DataFrame, keys: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """WIN-7: position of the strongest direction change strictly inside each group (0 without one)."""
     keys = as_list(keys)
-    d = tile_scan(points, keys, "t", tie=tie, prev={"_p": F.struct("x", "y")}, nxt={"_n": F.struct("x", "y")},
+    d = tile_scan(points.select(*dict.fromkeys([*keys, "t", "x", "y", *tie])), keys, "t", tie=tie, prev={"_p": F.struct("x", "y")}, nxt={"_n": F.struct("x", "y")},
                   csum={"_i": F.lit(1)})
     ax, ay = F.col("x") - F.col("_p.x"), F.col("y") - F.col("_p.y")
     bx, by = F.col("_n.x") - F.col("x"), F.col("_n.y") - F.col("y")
@@ -74,7 +74,7 @@ def teleports(points: DataFrame, keys: Sequence[str] = RALLY, fps: float = 30.0,
               tie: Sequence[str] = ()) -> DataFrame:
     """WIN-11: impossible jumps per 1000 points."""
     keys = as_list(keys)
-    d = tile_scan(points, keys, "t", tie=tie, prev={"_p": F.struct("t", "x", "y")})
+    d = tile_scan(points.select(*dict.fromkeys([*keys, "t", "x", "y", *tie])), keys, "t", tie=tie, prev={"_p": F.struct("t", "x", "y")})
     hop = (F.col("t") - F.col("_p.t") <= 2.5 / max(fps, 1.0)) & (F.hypot(F.col("x") - F.col("_p.x"), F.col("y") - F.col("_p.y")) > jump)
     return d.groupBy(*keys).agg(F.count("*").alias("points"), F.count_if(hop).alias("teleports")).withColumn(
         "per_1000", F.when(F.col("points") < 2, 0.0).otherwise(1000.0 * F.col("teleports") / F.col("points")))

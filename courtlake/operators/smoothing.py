@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp
 from .folds import ordered_fold, tiled_fold
-from .tiles import as_list, row_index, sessionize
+from .tiles import TILE, as_list, lay_out, row_index, sessionize
 
 FRAMES_PER_TILE = 4096
 
@@ -18,7 +18,7 @@ def one_euro(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id: str =
     over ``reset`` starts a fresh filter, so series are cut there and filtered in parallel."""
     keys = as_list(keys)
     fed = F.coalesce(F.col("confidence"), F.lit(0.0)) >= min_conf
-    d = sessionize(df.filter(fed), keys, "t", reset, tie=[id], seg="_piece")
+    d = sessionize(df.select(*keys, "t", "confidence", id, *cols).filter(fed), keys, "t", reset, tie=[id], seg="_piece")
 
     def alpha(dt, cutoff):
         return 1.0 / (1.0 + 1.0 / (2.0 * math.pi * max(cutoff, 1e-6)) / max(dt, 1e-6))
@@ -37,8 +37,7 @@ def one_euro(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id: str =
             yield (rid, *ys)
 
     out = ordered_fold(d, [*keys, "_piece"], ["t", id], walk, f"{id} long, " + ", ".join(f"_{c} double" for c in cols), ["t", id, *cols])
-    smooth = df.filter(fed).join(out.drop("_piece"), [*keys, id]).withColumns({c: F.col(f"_{c}") for c in cols}).select(*df.columns)
-    return smooth.union(df.filter(~fed))
+    return df.join(out.drop("_piece"), [*keys, id], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in cols}).select(*df.columns)
 
 
 def halo(df: DataFrame, keys: Sequence[str], idx: str, reach: int, size: int = FRAMES_PER_TILE) -> DataFrame:
@@ -126,7 +125,9 @@ def ema(df: DataFrame, keys: Sequence[str], t: str, col: str, alpha: float = 0.2
         a = s[0] + alpha * (r[1] - s[0])
         return [a], (r[0], a)
 
-    d = row_index(df.select(*keys, t, id, col), keys, t, tie=[id], out="_i")
+    df = lay_out(df, keys, t)
+    d = row_index(df.select(*keys, t, id, col, TILE), keys, t, tie=[id], out="_i").drop(TILE)
+    df = df.drop(TILE)
     out = tiled_fold(d, keys, "_i", summarize, lambda s, f: [s[0] * f[0] + f[1]], walk, lambda r: [r[1]], "array<double>", f"{id} long, {col}_ema double", [id, col])
     return df.join(out, [*keys, id])
 
@@ -165,7 +166,9 @@ def ramp(df: DataFrame, keys: Sequence[str], t: str, flag: str, step: float = 0.
         v = max(0.0, min(1.0, s[0] + (step if r[1] else -step)))
         return [v], (r[0], v)
 
-    d = row_index(df.select(*keys, t, id, flag), keys, t, tie=[id], out="_i")
+    df = lay_out(df, keys, t)
+    d = row_index(df.select(*keys, t, id, flag, TILE), keys, t, tie=[id], out="_i").drop(TILE)
+    df = df.drop(TILE)
     # the first row shows 0 whatever its flag: start one step below or above it
     out = tiled_fold(d.withColumn(flag, F.when(F.col("_i") == 0, F.lit(False)).otherwise(F.col(flag))), keys, "_i", summarize,
                      lambda s, f: [max(f[1], min(f[2], s[0] + f[0]))], walk, lambda r: [0.0], "array<double>", f"{id} long, ramp double", [id, flag])
@@ -193,7 +196,9 @@ def switch_active(df: DataFrame, keys: Sequence[str], t: str, a: str, b: str, ra
         n = move(s[0], r[1], r[2])
         return [float(n)], (r[0], n // frames)
 
-    d = row_index(df.select(*keys, t, id, a, b), keys, t, tie=[id], out="_i")
+    df = lay_out(df, keys, t)
+    d = row_index(df.select(*keys, t, id, a, b, TILE), keys, t, tie=[id], out="_i").drop(TILE)
+    df = df.drop(TILE)
     out = tiled_fold(d, keys, "_i", summarize, lambda s, f: [f[int(s[0])]], walk, lambda r: [0.0 if r[1] >= r[2] else float(frames)], "array<double>",
                      f"{id} long, active int", [id, a, b])
     return df.join(out, [*keys, id])

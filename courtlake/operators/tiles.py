@@ -47,21 +47,33 @@ def value_tile(v: str, per_octave: int = 1024) -> Column:
 TILE = "_tile"
 
 
-def lay_out(df: DataFrame, keys: Sequence[str], t: str, tile: Column | None = None) -> DataFrame:
-    """``df`` shuffled by (keys, tile), with the tile as a further column. Scans over the result keep that layout and share its
-    exchange.
+def shared(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` shuffled by ``by`` (rows with a null there go), for an operator that reads it several times: it is read and computed once.
 
     Spark computes an exchange once for all that read it, if they read the same columns. The rows travel as
-    one packed column, so that whatever a reader uses, the exchange is the same; what nobody needs should be left out before."""
-    keys = as_list(keys)
-    d = df.withColumn(TILE, time_tile(t) if tile is None else tile)
-    for c in (*keys, TILE):
-        d = d.filter(F.col(c).isNotNull())
-    rest = [c for c in df.columns if c not in keys]
+    one packed column, so that whatever else than ``by`` a reader uses, the exchange is the same; what nobody needs should be left out before. A filter that one reader
+    has on its own moves below its exchange, which then is not the others' any more."""
+    by = as_list(by)
+    d = df
+    for c in by:
+        d = d if c == TILE else d.filter(F.col(c).isNotNull())
+    rest = [c for c in df.columns if c not in by]
     if not rest:
-        return d.repartition(*keys, TILE)
-    d = d.select(*keys, TILE, F.array(F.struct(*rest)).alias("_packed")).repartition(*keys, TILE)
-    return d.select(*[c if c in keys else F.element_at("_packed", 1)[c].alias(c) for c in df.columns], TILE)
+        return d.repartition(*by)
+    d = d.select(*by, F.array(F.struct(*rest)).alias("_packed")).repartition(*by)
+    return d.select(*[c if c in by else F.element_at("_packed", 1)[c].alias(c) for c in df.columns])
+
+
+def rows_of(c: str) -> Column:
+    """``count(*)`` that reads the packed column ``c``, so that a mere count shares the exchange too."""
+    return F.count_if(F.coalesce(F.col(c) == F.col(c), F.lit(True)))
+
+
+def lay_out(df: DataFrame, keys: Sequence[str], t: str, tile: Column | None = None) -> DataFrame:
+    """``df`` shared by (keys, tile), with the tile as a further column. Scans over the result keep that layout and its one exchange."""
+    # a tile that cannot be null lets no join add a filter to one reader alone, which would part it from the others' exchange
+    at = F.coalesce(time_tile(t) if tile is None else tile, F.lit(0).cast("long"))
+    return shared(df.filter(F.col(t).isNotNull()).withColumn(TILE, at), [*as_list(keys), TILE])
 
 
 def tile_scan(
@@ -182,7 +194,7 @@ def sessionize(df: DataFrame, keys: Sequence[str], t: str, gap: float, *, tie: S
 
 def row_index(df: DataFrame, keys: Sequence[str], t: str, *, tie: Sequence[str] = (), out: str = "idx",
               tile: Column | None = None) -> DataFrame:
-    """0-based position of each row within its group."""
+    """0-based position of each row within its group. Like every scan it takes rows that are laid out already as they lie."""
     return tile_scan(df, keys, t, tie=tie, csum={out: F.lit(1)}, tile=tile).withColumn(out, F.col(out) - 1)
 
 
@@ -197,7 +209,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Mapping[str, Mapp
     """Exact order statistics per group without gathering a group, from one read whatever the number of columns.
 
     ``specs`` maps an output name to a fraction in 0..1 (linear interpolation between closest
-    ranks) or to ``"upper"`` (element n//2 of the sorted values); ``value`` names its column, or maps several columns to
+    ranks), to ``"upper"`` (element n//2 of the sorted values) or to ``"count"`` (how many values there are); ``value`` names its column, or maps several columns to
     their specs. Equal values are counted before the shuffle. A histogram of the distinct ones, by tile, finds the tiles that hold
     the ranks; only there values are ranked. A group in which a column is null throughout shows null for it.
     """
@@ -212,7 +224,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Mapping[str, Mapp
     n = F.col("_tot")
 
     def position(spec):
-        return F.floor(n / 2).cast("double") if spec == "upper" else (n - 1) * F.lit(float(spec))
+        return F.floor(n / 2).cast("double") if spec in ("upper", "count") else (n - 1) * F.lit(float(spec))
 
     asked = F.lit(None).cast("array<double>")
     for i, c in enumerate(cols):
@@ -222,7 +234,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Mapping[str, Mapp
     hist = hist.withColumns({"_before": F.coalesce(F.sum("_tn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
                              "_tot": F.sum("_tn").over(Window.partitionBy(*by))}).withColumn("_at", asked)
     within = lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_tn"))
-    hist = hist.filter(F.exists("_at", lambda p: within(F.floor(p)) | within(F.ceil(p)))).select(*by, TILE, "_before", "_at")
+    hist = hist.filter(F.exists("_at", lambda p: within(F.floor(p)) | within(F.ceil(p)))).select(*by, TILE, "_before", "_tot", "_at")
     r = counts.join(hist, [*by, TILE])
     cum = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, TILE).orderBy("_q").rowsBetween(Window.unboundedPreceding, 0))
     r = r.withColumn("_cum", cum)
@@ -234,6 +246,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Mapping[str, Mapp
     for i, c in enumerate(cols):
         for k, (name, spec) in enumerate(wanted[c].items()):
             mine = F.when(F.col("_c") == i, F.get("_at", F.lit(k)))
+            if spec == "count":
+                aggs.append(F.coalesce(F.max(F.when(F.col("_c") == i, n)), F.lit(0)).alias(name))
+                continue
             lo, hi = F.max(at(F.floor(mine))), F.max(at(F.ceil(mine)))
             frac = F.max(mine - F.floor(mine))
             aggs.append((lo if spec == "upper" else lo + (hi - lo) * frac).alias(name))
