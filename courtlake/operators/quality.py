@@ -113,14 +113,15 @@ def path_smoothness(path: DataFrame, keys: Sequence[str] = RALLY, cw: float = 0.
                     limits: tuple[float, float, float] = (0.05, 0.05, 0.006), tie: Sequence[str] = ()) -> DataFrame:
     """AGG-22: 99th percentile of camera acceleration relative to the crop."""
     keys = as_list(keys)
-    d = tile_scan(path.select(*dict.fromkeys([*keys, "t", "x", "y", "z", *tie])), keys, "t", tie=tie, prev={"_p": F.struct("x", "y", "z")}, nxt={"_n": F.struct("x", "y", "z")})
+    laid = lay_out(path.select(*dict.fromkeys([*keys, "t", "x", "y", "z", *tie])), keys, "t")
+    d = tile_scan(laid, keys, "t", tie=tie, prev={"_p": F.struct("x", "y", "z")}, nxt={"_n": F.struct("x", "y", "z")})
 
     def accel(c: str, unit: Column) -> Column:
         return F.abs((F.col(f"_n.{c}") - 2 * F.col(c) + F.col(f"_p.{c}")) / unit)
 
     z = F.col("z")
     d = d.withColumns({"_ax": accel("x", cw / (2 * z)), "_ay": accel("y", ch / (2 * z)), "_az": accel("z", z)})
-    n = d.groupBy(*keys).agg(rows_of("x").alias("_n"))
+    n = laid.groupBy(*keys).agg(rows_of("x").alias("_n"))
     n = n.join(quantiles(d, keys, {f"_{c}": {f"_{c}": 0.99} for c in ("ax", "ay", "az")}), keys, "left")
     short = F.col("_n") < 5
     out = {f"{c}99": F.when(short, 0.0).otherwise(F.col(f"_{c}")) for c in ("ax", "ay", "az")}
