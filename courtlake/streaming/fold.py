@@ -1,79 +1,108 @@
-"""Keyed state machines on a stream."""
+"""Keyed state machines on a stream, whose state ends."""
 import json
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: Seconds by which event times are moved: a watermark starts at zero, and a media clock's first row must lie behind it.
+SHIFT_S = 86400
+STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Fold(StatefulProcessor):
     """One JSON state per key. A batch's rows are taken in order of ``order``; ``step`` may keep anything JSON can
-    hold. ``on_timer`` runs when a deadline the step asked for passes."""
+    hold. A state has one timer, at the earlier of two times: its ``deadline``, if the step set one, when ``on_timer`` runs; and ``idle``
+    seconds after the key's last row, when the state goes."""
 
-    def __init__(self, key: str, order: Sequence[str], step: Callable, out: Sequence[str], on_timer: Callable | None, flush: Callable | None):
+    def __init__(self, key: str, order: Sequence[str], step: Callable, out: Sequence[str], on_timer: Callable | None, flush: Callable | None,
+                 time: str | None, idle: float | None):
         self.key, self.order, self.step, self.out, self.on_timer, self.flush = key, list(order), step, list(out), on_timer, flush
+        self.time, self.idle = time, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("fold", "json string")
 
-    def _load(self):
-        return json.loads(self.state.get()[0]) if self.state.exists() else None
+    def _load(self) -> tuple:
+        """The state and the time of the key's last row."""
+        return tuple(json.loads(self.state.get()[0])) if self.state.exists() else (None, None)
 
-    def _save(self, state) -> None:
+    def _save(self, state, seen) -> None:
+        timed = self.on_timer is not None or self.idle is not None
+        if timed:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         if state is None:
             self.state.clear()
-        else:
-            self.state.update((json.dumps(state),))
-
-    def _arm(self, state) -> None:
-        if self.on_timer is None:
             return
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if state and state.get("deadline") is not None:
-            self.handle.registerTimer(int(state["deadline"] * 1000))
+        self.state.update((json.dumps([state, seen]),))
+        if timed:
+            ends = [x for x in (self._deadline(state), None if self.idle is None else seen + self.idle) if x is not None]
+            if ends:
+                self.handle.registerTimer(self._ms(min(ends)))
+
+    @staticmethod
+    def _ms(t: float) -> int:
+        return math.ceil((t + SHIFT_S) * 1000)
+
+    def _deadline(self, state):
+        return state.get("deadline") if self.on_timer is not None else None
+
+    def _frame(self, key, out):
+        import pandas as pd
+
+        return pd.DataFrame(out, columns=self.out[1:]).assign(**{self.key: key[0]})[self.out]
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        frames = [f for f in rows]
-        batch = pd.concat(frames).sort_values(self.order, kind="stable")
-        state, out = self._load(), []
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        (state, seen), out = self._load(), []
         for row in batch.to_dict("records"):
             state, emitted = self.step(state, row)
             out += emitted
+        if self.time is not None:
+            last = float(batch[self.time].max())
+            seen = last if seen is None else max(seen, last)
         if self.flush is not None:
             out += self.flush(state)
-        self._save(state)
-        self._arm(state)
+        self._save(state, seen)
         if out:
-            yield pd.DataFrame(out, columns=self.out[1:]).assign(**{self.key: key[0]})[self.out]
+            yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
-        state = self._load()
-        if state is None or self.on_timer is None:
+        (state, seen), out = self._load(), []
+        if state is None:
             return
-        state, out = self.on_timer(state)
-        self._save(state)
+        now, deadline = expiredTimerInfo.getExpiryTimeInMs(), self._deadline(state)
+        if deadline is not None and self._ms(deadline) <= now:
+            state, out = self.on_timer(state)
+        if self.idle is not None and self._ms(seen + self.idle) <= now:
+            state = None
+        self._save(state, seen)
         if out:
-            yield pd.DataFrame(out, columns=self.out[1:]).assign(**{self.key: key[0]})[self.out]
+            yield self._frame(key, out)
 
     def close(self) -> None:
         pass
 
 
 def fold_stream(df: DataFrame, key: str, order: Sequence[str], step: Callable, schema: str, *, on_timer: Callable | None = None,
-                flush: Callable | None = None, mode: str = "append") -> DataFrame:
+                flush: Callable | None = None, mode: str = "append", time: str | None = None, idle: float | None = None) -> DataFrame:
     """``step(state, row) -> (state, [tuples])`` per row of each key, in order within a micro-batch; rows of later
-    batches continue from the stored state. ``schema`` starts with the key. State lives in RocksDB, so it may
-    outgrow memory and survives lost executors through the checkpoint."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    batches continue from the stored state. ``schema`` starts with the key. State lives in RocksDB (the session that starts the query
+    says so in ``STATE_CONF``), so it may outgrow memory and survives lost executors through the checkpoint.
+
+    With ``idle`` a key's state is dropped once the watermark is so many seconds past its last row; ``on_timer(state)`` runs when the
+    watermark passes the ``deadline`` that a step has put into the state. Both need ``time``, the column of the rows' times in seconds, and a watermark
+    on a timestamp ``SHIFT_S`` later."""
     out = [c.strip().split(" ")[0] for c in schema.split(",")]
+    timed = on_timer is not None or idle is not None
+    if timed and time is None:
+        raise ValueError("name the column of times")
     return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Fold(key, order, step, out, on_timer, flush), outputStructType=schema, outputMode=mode,
-        timeMode="EventTime" if on_timer else "None")
+        statefulProcessor=_Fold(key, order, step, out, on_timer, flush, time, idle), outputStructType=schema, outputMode=mode,
+        timeMode="EventTime" if timed else "None")
