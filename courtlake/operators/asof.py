@@ -169,14 +169,37 @@ def fill_unseen(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str],
     return d.withColumns(fill).select(*df.columns)
 
 
-def nearest_center(pred: DataFrame, gt: DataFrame, on: Sequence[str], max_dist: float, pred_id: str = "id", gt_id: str = "gt_id") -> DataFrame:
-    """JOIN-7: per labelled box the closest predicted box of the same frame; ties go to the later one.
-    Detections are capped per frame where payloads are read (six boxes), so pairing inside (keys, frame) stays small."""
+SCALES = (1 / 16, 1 / 4, 1)
+
+
+def nearest_within(left: DataFrame, right: DataFrame, on: Sequence[str], radius: float, left_id: str, right_id: str) -> DataFrame:
+    """Each row of ``left`` (x, y, an id of its own within ``on``) with the closest row of ``right`` of the same ``on``, as the struct ``p``, and their ``dist``;
+    ties go to the larger ``right_id``; rows without one within ``radius`` go.
+
+    Both sides meet in square cells, at first in small ones: what has a partner within a sixteenth of the radius
+    needs no wider search. In a crowded frame a row so meets a few neighbours, not all rows within the radius."""
     on = as_list(on)
-    p = pred.select(*on, F.col(pred_id).alias("_pid"), F.struct("*").alias("p"))
-    d = gt.join(p, on).withColumn("dist", F.hypot(F.col("p.x") - F.col("x"), F.col("p.y") - F.col("y"))).filter(F.col("dist") <= max_dist)
-    w = Window.partitionBy(*on, gt_id).orderBy(F.asc("dist"), F.desc("_pid"))
-    return d.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_pid")
+    columns = left.columns
+    left, right = shared(left, on), shared(right.select(*on, F.col(right_id).alias("_pid"), F.struct("*").alias("p")), on)
+    found = None
+    for scale in SCALES:
+        r = radius * scale
+        reach = r * (1 + 1e-9)                                      # a cell is as wide as what it is searched for, so two of them hold it
+        cell = lambda c, by=0.0: F.floor((c + by) / (2 * reach))
+        around = lambda c: F.explode(F.sequence(cell(F.col(c), -reach), cell(F.col(c), reach)))
+        p = right.withColumns({"_cx": cell(F.col("p.x")), "_cy": cell(F.col("p.y"))})
+        d = left.withColumn("_cx", around("x")).withColumn("_cy", around("y")).join(p, [*on, "_cx", "_cy"])
+        d = d.withColumn("dist", F.hypot(F.col("p.x") - F.col("x"), F.col("p.y") - F.col("y"))).filter(F.col("dist") <= r)
+        w = Window.partitionBy(*on, left_id).orderBy(F.asc("dist"), F.desc("_pid"))
+        best = d.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(*columns, "p", "dist")
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select(*on, left_id), [*on, left_id], "left_anti")
+    return found
+
+
+def nearest_center(pred: DataFrame, gt: DataFrame, on: Sequence[str], max_dist: float, pred_id: str = "id", gt_id: str = "gt_id") -> DataFrame:
+    """JOIN-7: per labelled box the closest predicted box of the same frame; ties go to the later one."""
+    return nearest_within(gt, pred, on, max_dist, gt_id, pred_id)
 
 
 def grid_times(spans: DataFrame, keys: Sequence[str], fps: float, start: str = "start_s", end: str = "end_s") -> DataFrame:

@@ -1,11 +1,11 @@
 """Scores against labelled clips, and the release gates."""
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .asof import greedy_match, nearest_time
+from .asof import nearest_within, greedy_match, nearest_time
 from .tiles import as_list, quantiles, rows_of, shared, tile_scan, with_totals
 
 RALLY = ("job_id", "rally_index")
@@ -62,12 +62,10 @@ def count_metrics(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = RALLY, t
 
 def _paired_boxes(pred: DataFrame, gt: DataFrame, keys: list, tol: float, dist: float) -> DataFrame:
     pairs = paired_frames(pred, gt, keys, tol).filter("pt is not null")
+    # a predicted frame may be the nearest one of several labelled frames: it is copied to each
     g = gt.withColumnRenamed("id", "gt_id").join(pairs, [*keys, "t"])
-    p = pred.withColumnRenamed("t", "pt")
-    d = g.join(p.select(*keys, "pt", F.struct("*").alias("p")), [*keys, "pt"])
-    d = d.withColumn("dist", F.hypot(F.col("p.x") - F.col("x"), F.col("p.y") - F.col("y"))).filter(F.col("dist") <= dist)
-    w = Window.partitionBy(*keys, "t", "gt_id").orderBy(F.asc("dist"), F.desc("p.id"))
-    return d.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    p = pred.withColumnRenamed("t", "pt").join(pairs, [*keys, "pt"])
+    return nearest_within(g, p, [*keys, "t"], dist, "gt_id", "id")
 
 
 def id_switches(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = RALLY, tol: float = 0.12, dist: float = 0.12) -> DataFrame:

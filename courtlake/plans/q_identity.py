@@ -84,9 +84,9 @@ def keep_ids(spark, sf):
 
 
 @query("unassigned_rallies", "JOIN-15", "job_id:i rally_id:i", ctes("rallies", "peaks") + """
-SELECT job_id, rally_id FROM rallies r WHERE NOT EXISTS (SELECT 1 FROM peaks p WHERE p.job_id = r.job_id AND p.peak_id % 5 = 0)""")
+SELECT job_id, rally_id FROM rallies r WHERE NOT EXISTS (SELECT 1 FROM peaks p WHERE p.job_id = r.job_id AND p.prominence_db > 16)""")
 def unassigned(spark, sf):
-    return identity.without(load(spark, sf, "rallies"), load(spark, sf, "peaks").filter("peak_id % 5 = 0"), "job_id")
+    return identity.without(load(spark, sf, "rallies"), load(spark, sf, "peaks").filter("prominence_db > 16"), "job_id")
 
 
 @query("argmax_frame", "SRT-5", "job_id:i frame_no:i n:i", ctes("boxes") + f""",
