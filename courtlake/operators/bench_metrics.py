@@ -62,10 +62,8 @@ def count_metrics(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = RALLY, t
 
 def _paired_boxes(pred: DataFrame, gt: DataFrame, keys: list, tol: float, dist: float) -> DataFrame:
     pairs = paired_frames(pred, gt, keys, tol).filter("pt is not null")
-    # a predicted frame may be the nearest one of several labelled frames: it is copied to each
     g = gt.withColumnRenamed("id", "gt_id").join(pairs, [*keys, "t"])
-    p = pred.withColumnRenamed("t", "pt").join(pairs, [*keys, "pt"])
-    return nearest_within(g, p, [*keys, "t"], dist, "gt_id", "id")
+    return nearest_within(g, pred.withColumnRenamed("t", "pt"), [*keys, "pt"], dist, ["t", "gt_id"], "id")
 
 
 def id_switches(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = RALLY, tol: float = 0.12, dist: float = 0.12) -> DataFrame:
