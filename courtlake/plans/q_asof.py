@@ -91,7 +91,7 @@ SELECT * FROM o UNION ALL SELECT * FROM held"""
 
 def _grid(fr):
     ts = fr.select("job_id", "t").distinct()
-    return ts.selectExpr("job_id", "t + 12718281e-7 as t").union(ts.selectExpr("job_id", "t - 51828e-5 as t")).union(ts)
+    return ts.selectExpr("job_id", "explode(array(t + 12718281e-7, t - 51828e-5, t)) as t")
 
 
 @query("interpolate_boxes_by_id", "JOIN-4", "job_id:i t:d id:i x:d y:d confidence:d", _by_id_sql(False))
