@@ -108,13 +108,32 @@ def exact_quantiles(spark, sf):
 _DENSE = ctes("dense")
 
 
-@query("drop_static_runs", "WIN-8", "rally_index:i pid:i")
+@query("drop_static_runs", "WIN-8", "rally_index:i pid:i", "WITH RECURSIVE" + _DENSE[4:] + """,
+fed AS (SELECT rally_index, pid, t, CASE WHEN kind = 'click' THEN 5e-1 ELSE x END AS x, y, row_number() OVER (PARTITION BY rally_index ORDER BY t, pid) AS rn FROM dense),
+w AS (SELECT rally_index, rn, pid, t, x AS ax, y AS ay, 1 AS run FROM fed WHERE rn = 1
+  UNION ALL SELECT rally_index, rn, pid, t, CASE WHEN fresh THEN x ELSE ax END, CASE WHEN fresh THEN y ELSE ay END, run + CASE WHEN fresh THEN 1 ELSE 0 END
+    FROM (SELECT f.*, w.ax, w.ay, w.run, f.t - w.t > 1 OR sqrt((f.x - w.ax) * (f.x - w.ax) + (f.y - w.ay) * (f.y - w.ay)) > 12e-2 AS fresh
+          FROM w JOIN fed f ON f.rally_index = w.rally_index AND f.rn = w.rn + 1)),
+n AS (SELECT *, count(*) OVER (PARTITION BY rally_index, run) AS len FROM w)
+SELECT rally_index, pid FROM n WHERE len < 4""")
 def drop_static_runs(spark, sf):
     d = load(spark, sf, "dense").withColumn("x", F.when(F.col("kind") == "click", 0.5).otherwise(F.col("x")))
     return cleaning.drop_static_runs(d, ["rally_index"], radius=0.12, run=4, gap=1.0, tie=["pid"])
 
 
-@query("measure_confidence", "WIN-9", "rally_index:i pid:i confidence:d provenance:s")
+@query("measure_confidence", "WIN-9", "rally_index:i pid:i confidence:d provenance:s", "WITH RECURSIVE" + _DENSE[4:] + """,
+fed AS (SELECT 1 AS dir, rally_index, pid, t, x, y, row_number() OVER (PARTITION BY rally_index ORDER BY t, pid) AS rn FROM dense
+  UNION ALL SELECT 2, rally_index, pid, -t, x, y, row_number() OVER (PARTITION BY rally_index ORDER BY t DESC, pid DESC) FROM dense),
+w AS (SELECT dir, rally_index, rn, pid, [{'t': t, 'x': x, 'y': y}] AS path, CAST(NULL AS DOUBLE) AS trust FROM fed WHERE rn = 1
+  UNION ALL SELECT dir, rally_index, rn, pid, CASE WHEN far THEN [{'t': t, 'x': x, 'y': y}] WHEN judged < 3e-1 THEN path ELSE list_append(path[-12:], {'t': t, 'x': x, 'y': y}) END, CASE WHEN NOT far THEN judged END
+    FROM (SELECT *, CASE WHEN sqrt((x - p.x) * (x - p.x) + (y - p.y) * (y - p.y)) > 10 * dt THEN 5e-2
+              ELSE greatest(5e-2, least(95e-2, 95e-2 - 33e-2 * sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy)) / greatest(2e-2, 3 * usual))) END AS judged
+          FROM (SELECT *, CASE WHEN q IS NULL THEN p.x ELSE p.x + (p.x - q.x) * dt / greatest(p.t - q.t, 1e-3) END AS gx, CASE WHEN q IS NULL THEN p.y ELSE p.y + (p.y - q.y) * dt / greatest(p.t - q.t, 1e-3) END AS gy,
+                  coalesce(list_sort(steps)[len(steps) // 2 + 1], 2e-2) AS usual
+                FROM (SELECT f.*, w.path, w.path[-1] AS p, w.path[-2] AS q, f.t - w.path[-1].t > 1 AS far, greatest(f.t - w.path[-1].t, 1e-3) AS dt,
+                        list_transform(range(1, len(w.path)), lambda i: sqrt((w.path[i].x - w.path[i+1].x) * (w.path[i].x - w.path[i+1].x) + (w.path[i].y - w.path[i+1].y) * (w.path[i].y - w.path[i+1].y))) AS steps
+                      FROM w JOIN fed f ON f.dir = w.dir AND f.rally_index = w.rally_index AND f.rn = w.rn + 1))))
+SELECT rally_index, pid, round(coalesce(max(trust), 6e-1), 3) AS confidence, 'observed' AS provenance FROM w GROUP BY rally_index, pid""")
 def measure_confidence(spark, sf):
     return cleaning.measure_confidence(load(spark, sf, "dense"), ["rally_index"], gap=1.0)
 

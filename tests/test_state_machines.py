@@ -3,9 +3,12 @@ import math
 import random
 import statistics
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql
 from courtlake.operators import cleaning, identity, quality, thinning
 
 PTS = "rally_index int, pid long, t double, x double, y double, confidence double"
@@ -58,40 +61,17 @@ def test_static_runs(points, tracks):
     assert any(len(want[s]) < len(tracks[s]) for s in want)
 
 
-def _one_way(ps):
-    """Confidence of each point from the points accepted before it."""
-    ref, steps, out = [], [], {}
-    for pid, t, x, y, _ in ps:
-        if ref and t - ref[-1][0] > 0.35:
-            ref, steps = [], []
-        if not ref:
-            ref.append((t, x, y))
-            continue
-        (t0, x0, y0), dt = ref[-1], max(t - ref[-1][0], 1e-3)
-        guess = (x0, y0)
-        if len(ref) > 1:
-            t1, x1, y1 = ref[-2]
-            k = dt / max(t0 - t1, 1e-3)
-            guess = (x0 + (x0 - x1) * k, y0 + (y0 - y1) * k)
-        usual = sorted(steps[-12:])[len(steps[-12:]) // 2] if steps else 0.02
-        c = 0.95 - 0.33 * math.dist((x, y), guess) / max(0.02, 3 * usual)
-        c = 0.05 if math.dist((x, y), (x0, y0)) / dt > 10 else max(0.05, min(0.95, c))
-        out[pid] = c
-        if c >= 0.3:
-            steps.append(math.dist((x, y), (x0, y0)))
-            ref.append((t, x, y))
-    return out
-
-
 def test_measured_confidence(points, tracks):
-    got = {(r.rally_index, r.pid): (r.confidence, r.provenance) for r in cleaning.measure_confidence(points, ["rally_index"]).collect()}
-    for s, ps in tracks.items():
-        f = _one_way(ps)
-        b = _one_way([(p[0], -p[1], *p[2:]) for p in reversed(ps)])
-        for p in ps:
-            both = [v[p[0]] for v in (f, b) if p[0] in v]
-            assert got[s, p[0]] == (pytest.approx(max(both) if both else 0.6, abs=6e-4), "observed")
-    assert {v[0] for v in got.values()} != {0.6}
+    """The query's recursive SQL over small tracks with spikes, so that points are refused."""
+    sql = "WITH RECURSIVE fed AS" + oracle_sql()["measure_confidence"].split("\nfed AS", 1)[1]
+    dense = pd.DataFrame([(s, *p[:4]) for s, ps in tracks.items() for p in ps], columns=["rally_index", "pid", "t", "x", "y"])
+    con = duckdb.connect()
+    con.register("dense", dense)
+    want = {(r, p): (c, w) for r, p, c, w in con.execute(sql).fetchall()}
+    got = {(r.rally_index, r.pid): (r.confidence, r.provenance) for r in cleaning.measure_confidence(points, ["rally_index"], gap=1.0).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == (pytest.approx(want[k][0], abs=1.1e-3), want[k][1]) for k in want)
+    assert sum(c < 0.3 for c, _ in got.values()) > 5 and len({c for c, _ in got.values()}) > 20
 
 
 def test_hampel(points, tracks):
