@@ -35,6 +35,7 @@ LEAST_UNITS, MOST_UNITS, LEAST_WORDS = 2, 12, 12
 WINDOW, SURE = 16, 50     # words of a window; words from which a repeat is found wherever it stands
 REACH = SURE - WINDOW + 1  # an anchor is extended so far at least; behind that, the next one stands
 BLOCK = 32                # words of the pieces in which first places are sent
+_PLACES = 1 << 24         # places of windows that are told apart at once
 _ROLL, _MASK = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
 
 
@@ -155,63 +156,110 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 _WORD = re.compile(r"\S+")
 
 
+def _least(keys: np.ndarray, reach: int) -> np.ndarray:
+    """Least of every ``reach`` neighbouring keys, by doubling."""
+    width = 1
+    while 2 * width <= reach:
+        keys = np.minimum(keys[:-width], keys[width:])
+        width *= 2
+    return np.minimum(keys[:len(keys) - (reach - width)], keys[reach - width:])
+
+
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the chosen windows."""
     n = len(words) - WINDOW + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    grams, width, roll = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), 1, _ROLL
     with np.errstate(over="ignore"):
-        grams = np.zeros(n, np.uint64)
-        for k in range(WINDOW):
-            grams = grams * np.uint64(_ROLL) + own[k:k + n]
+        while width < WINDOW:
+            grams = grams[:-width] * np.uint64(roll) + grams[width:]
+            width, roll = 2 * width, roll * roll & _MASK
         grams ^= grams >> np.uint64(31)
         grams *= np.uint64(0xBF58476D1CE4E5B9)
         grams ^= grams >> np.uint64(29)
     reach = min(REACH, n)
-    least = np.lib.stride_tricks.sliding_window_view(grams[::-1], reach).argmin(1)      # backwards: the last of equal ones
-    at = np.unique(n - 1 - (least + np.arange(len(least))))
+    at = []
+    for a in range(0, n - reach + 1, _PLACES // 2):                 # one round but for texts of millions of words
+        part = grams[a:a + _PLACES // 2 + reach - 1]
+        places = np.uint64(_PLACES - 1) - np.arange(len(part), dtype=np.uint64)          # backwards: the last of equal ones
+        least = _least(part & np.uint64(_MASK ^ (_PLACES - 1)) | places, reach)
+        least = least[np.concatenate(([True], least[1:] != least[:-1]))]
+        at.append(a + (_PLACES - 1) - (least & np.uint64(_PLACES - 1)).astype(np.int64))
+    at = np.unique(np.concatenate(at)) if len(at) > 1 else at[0]
     return at, grams[at].view(np.int64)
 
 
-def anchors(text: str) -> list[tuple[int, int, int]]:
-    """Hash, first word and number of words of each anchor."""
+def anchors(text: str) -> tuple[list[int], list[int], list[int], np.ndarray, np.ndarray]:
+    """Hash, first word and number of words of each chunk; places and hashes of the windows."""
     parts = units(text)
-    counts = [len(p.split()) for p in parts]
-    ends = np.concatenate(([0], np.cumsum(counts))).tolist()
-    out = [(_hash(body), ends[a], ends[b] - ends[a]) for a, b in chunks(parts) if b - a >= LEAST_UNITS and _eligible(parts, a, b, body := " ".join(_body(parts, a, b).split()))]
-    at, hs = windows(text.split())
-    return out + [(h, a, WINDOW) for h, a in zip(hs.tolist(), at.tolist())]
-
-
-def _take_out(text: str, own: list[dict], pieces: list[dict], me: tuple) -> tuple[str, int]:
-    """``text`` without what its anchors repeat, and how many passages went."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    words = [text[a:b] for a, b in spans]
-    first = {}
-    for p in pieces:
-        first.setdefault((p["sid"], p["srow"]), {})[p["b"]] = p["piece"].split(" ")
-    gone, done = bytearray(len(words)), {}
-    for m in sorted(own, key=lambda m: m["at"]):
-        source, at, n, shift = first.get((m["sid"], m["srow"]), {}), m["at"], m["n"], m["at"] - m["sat"]
-
-        if at + n <= done.get(run := (m["sid"], m["srow"], shift), 0):
+    own = [p.split() for p in parts]
+    ends = np.concatenate(([0], np.cumsum([len(w) for w in own]))).tolist()
+    hs, firsts, sizes = [], [], []
+    for a, b in chunks(parts):
+        if ends[b] - ends[a] >= LEAST_WORDS and sum(map(bool, own[a:b])) >= LEAST_UNITS:
+            hs.append(_hash(" ".join([w for u in own[a:b] for w in u])))
+            firsts.append(ends[a])
+            sizes.append(ends[b] - ends[a])
+    return hs, firsts, sizes, *windows([w for u in own for w in u])
+
+
+class _First:
+    """The words of a first place, as far as they were sent, beside those of a text that is ``shift`` words further on."""
+
+    def __init__(self, pieces: dict[int, list[str]], words: list[str], shift: int):
+        self.pieces, self.words, self.shift = pieces, words, shift
+
+    def _piece(self, i: int) -> tuple[list[str], int]:
+        block, off = divmod(i - self.shift, BLOCK)
+        return self.pieces.get(block, ()) if block >= 0 else (), off
+
+    def after(self, i: int, to: int) -> int:
+        """Up to where the words from ``i`` on agree."""
+        while i < to:
+            piece, off = self._piece(i)
+            theirs, ours = piece[off:off + to - i], self.words[i:min(i + BLOCK - off, to)]
+            if theirs != ours:
+                return i + next((k for k, (x, y) in enumerate(zip(theirs, ours)) if x != y), min(len(theirs), len(ours)))
+            i += len(ours)
+        return i
+
+    def before(self, i: int) -> int:
+        """Down to where the words before ``i`` agree."""
+        while i > 0:
+            piece, off = self._piece(i - 1)
+            ours = self.words[max(i - off - 1, 0):i]
+            theirs = piece[off + 1 - len(ours):off + 1]
+            if theirs != ours:
+                if len(theirs) < len(ours):
+                    return i
+                return i - next(k for k, (x, y) in enumerate(zip(reversed(theirs), reversed(ours))) if x != y)
+            i -= len(ours)
+        return i
+
+
+def _take_out(text: str, own: list[tuple], pieces: list[tuple], me: tuple) -> tuple[str, int]:
+    """``text`` without what its anchors (at, n, sat, sid, srow) repeat of the pieces (sid, srow, b, piece), and how many passages went."""
+    words = text.split()
+    first, gone, done, runs = {}, bytearray(len(words)), {}, {}
+    for sid, srow, b, piece in pieces:
+        first.setdefault((sid, srow), {})[b] = piece.split(" ")
+    for at, n, sat, sid, srow in sorted(own, key=lambda m: m[0]):
+        shift, where = at - sat, (sid, srow)
+        if at + n <= done.get(run := (where, shift), 0):
             continue                                        # the run of an anchor before holds it
-
-        def same(i: int) -> bool:
-            k = i - shift
-            piece = source.get(k // BLOCK) if k >= 0 else None
-            return piece is not None and k % BLOCK < len(piece) and piece[k % BLOCK] == words[i]
-
-        if (m["sid"], m["srow"]) == me and shift < n or not all(map(same, range(at, at + n))):
+        if run not in runs:
+            runs[run] = _First(first.get(where, {}), words, shift)
+        if at + n > len(words) or where == me and shift < n or runs[run].after(at, at + n) < at + n:
             continue                                        # it overlaps its own first place, or only the hashes are equal
-        a, b = at, at + n
-        while a > 0 and same(a - 1):
-            a -= 1
-        while b < len(words) and same(b):
-            b += 1
+        a, b = runs[run].before(at), runs[run].after(at + n, len(words))
         gone[a:b] = b"\1" * (b - a)
         done[run] = b
+    if 1 not in gone:
+        return text, 0
+    if 0 not in gone:
+        return "", 1
+    spans = [m.span() for m in _WORD.finditer(text)]
     out, kept_to, count, i = [], 0, 0, 0
     while (a := gone.find(1, i)) >= 0:
         b = gone.find(0, a)
@@ -224,7 +272,14 @@ def _take_out(text: str, own: list[dict], pieces: list[dict], me: tuple) -> tupl
         kept_to, i, count = spans[b - 1][1] + len(after), b, count + 1
         if b == len(words):
             break
-    return ("".join(out) + text[kept_to:], count) if count else (text, 0)
+    return "".join(out) + text[kept_to:], count
+
+
+def _rows_of(column: pa.Array, *fields: str) -> Iterator[list[tuple]]:
+    """The structs of each list of a column, as tuples of ``fields``; none for a null."""
+    inner, ends = column.flatten(), np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).tolist()
+    rows = list(zip(*(inner.field(inner.type.get_field_index(f)).to_pylist() for f in fields)))
+    return (rows[a:b] for a, b in zip(ends, ends[1:]))
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
@@ -232,21 +287,23 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = docs.columns
     row, marks, found_pieces, removed = (_free(n, columns) for n in ("_row", "_marks", "_pieces", "n_removed"))
     kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.withColumn(row, F.hash(F.col(id_col), F.col(text_col)))
+    docs = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, hs, at, size = [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                for h, a, n in anchors(text) if text else ():
-                    of.append(k)
-                    hs.append(h)
-                    at.append(a)
-                    size.append(n)
+                if text:
+                    h, firsts, sizes, places, grams = anchors(text)
+                    of.append(np.full(len(h) + len(grams), k))
+                    hs += [np.array(h, np.int64), grams]
+                    at += [np.array(firsts, np.int64), places]
+                    size += [np.array(sizes, np.int64), np.full(len(grams), WINDOW)]
+            of, hs, at, size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (of, hs, at, size))
             of = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(size, pa.int32())], ["h", "id", "row", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "id", "row", "at", "n"])
 
-    places = stored(docs.select(id_col, row, F.col(text_col).cast("string")).mapInArrow(cut, f"h long, id {kind}, row int, at int, n int"), "anchors")
+    places = stored(docs.select(id_col, row, F.col(text_col).cast("string")).mapInArrow(cut, f"h long, id {kind}, row long, at int, n int"), "anchors")
     often = stored(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select(F.col("h").alias("h2")), "often")      # hashes alone, as most places are single
     places = stored(places.join(often, F.col("h") == F.col("h2"), "left_semi"), "repeated")
     here = F.struct("id", "row", "at", "n")
@@ -258,9 +315,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, bs, out = [], [], []
-            for k, (text, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                words = text.split()
-                for b in sorted({b for m in own for b in range(max(m["at"] - REACH, 0) // BLOCK, (min(m["at"] + m["n"] + REACH, len(words)) - 1) // BLOCK + 1)}):
+            for k, (text, own) in enumerate(zip(batch.column(2).to_pylist(), _rows_of(batch.column(3), "at", "n"))):
+                words, (at, n) = text.split(), np.array(own, np.int64).T
+                ends = np.zeros(len(words) // BLOCK + 2, np.int64)
+                np.add.at(ends, np.maximum(at - REACH, 0) // BLOCK, 1)
+                np.add.at(ends, (np.minimum(at + n + REACH, len(words)) - 1) // BLOCK + 1, -1)
+                for b in np.flatnonzero(np.cumsum(ends)).tolist():
                     of.append(k)
                     bs.append(b)
                     out.append(" ".join(words[b * BLOCK:(b + 1) * BLOCK]))
@@ -269,7 +329,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     goes, stays = F.filter(marks, lambda m: m["drop"]), F.filter(marks, lambda m: ~m["drop"])
     some = lambda a: F.coalesce(F.size(a) > 0, F.lit(False))
-    first = marked.where(some(stays)).select(id_col, row, F.col(text_col).cast("string"), stays.alias(marks)).mapInArrow(first_places, f"sid {kind}, srow int, b int, piece string").dropDuplicates(["sid", "srow", "b"])
+    first = marked.where(some(stays)).select(id_col, row, F.col(text_col).cast("string"), stays.alias(marks)).mapInArrow(first_places, f"sid {kind}, srow long, b int, piece string").dropDuplicates(["sid", "srow", "b"])
     wanted = lambda m: F.transform(F.sequence(F.floor(F.greatest(m["sat"] - REACH, F.lit(0)) / BLOCK).cast("int"), F.floor((m["sat"] + m["n"] + REACH - 1) / BLOCK).cast("int")), lambda b: F.struct(m["sid"].alias("sid"), m["srow"].alias("srow"), b.alias("b")))
     asked = marked.where(some(goes)).select(F.col(id_col).alias("_id"), F.col(row).alias("_r"), F.explode(F.array_distinct(F.flatten(F.transform(goes, wanted)))).alias("k"))
     asked = asked.select("_id", "_r", F.col("k.sid").alias("_s"), F.col("k.srow").alias("_sr"), F.col("k.b").alias("_b"))
@@ -280,9 +340,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = batch.column(where).to_pylist(), []
-            mine = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), batch.column(width + 3).to_pylist())
+            mine = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), _rows_of(batch.column(width + 2), "at", "n", "sat", "sid", "srow"), _rows_of(batch.column(width + 3), "sid", "srow", "b", "piece"))
             for k, (i, r, own, got) in enumerate(mine):
-                texts[k], n = _take_out(texts[k], own, got or [], (i, r))
+                texts[k], n = _take_out(texts[k], own, got, (i, r))
                 counts.append(n)
             arrays = [batch.column(c) if c != where else pa.array(texts, pa.string()) for c in range(width)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int32())], [*columns, removed])
