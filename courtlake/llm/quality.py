@@ -17,6 +17,7 @@ from .common import stored, text_column
 
 _SPACE = " \t\n\x0b\x0c\r"
 _RUN = r"[ \t\n\x0B\f\r]+"
+BROADCAST_HOSTS = 64 << 20      # bytes of host verdicts up to which they are broadcast, so that the documents are not shuffled
 
 
 def bound(value: Column, use) -> Column:
@@ -78,10 +79,13 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", kee
     failed = (c["base_failed"] | c["soft_failed"]).cast("long")
     hosts = rules.groupBy(c["host"].alias("_host")).agg(F.count("*").alias("_n"), F.sum(failed).alias("_failed"))
     rate = F.col("_failed") / F.col("_n")
-    fit = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()      # one row, whatever the number of hosts
+    size = F.sum(F.octet_length("_host") + 64).alias("size")
+    fit = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), size).first()      # one row, whatever the number of hosts
     m = min(max(fit.m or 0.0, 1e-3), 1 - 1e-3)
     strength = min(max(m * (1 - m) / max(fit.v or 0.0, 1e-9) - 1, 1.0), 1e6)
     verdicts = hosts.select("_host", ((F.col("_failed") + m * strength) / (F.col("_n") + strength)).alias("_rate"))
+    if (fit.size or 0) <= BROADCAST_HOSTS:                # measured; beyond it a shuffled join, where AQE splits a hot host
+        verdicts = F.broadcast(verdicts)
     out = rules.join(verdicts, c["host"] == F.col("_host"), "left")
     kept = ~c["base_failed"] & ~(c["soft_failed"] & (F.col("_rate") > host_limit))
     return out.select(*keep, c.withField("host_rate", F.col("_rate")).withField("kept", kept).alias(name)), name
