@@ -207,7 +207,7 @@ def test_pipeline_and_registered_queries(spark, sf_dir):
         n = kept.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_every_stage_takes_an_empty_table(spark, sf_dir):
