@@ -15,7 +15,7 @@ _PAYLOAD = """
    when 0 then '{"rallies":[{"rally_index":1,"frames":[{"t":' || tt || ',"players":[{"box":[' || x || ',' || y || ',1,1],"confidence":' || confidence || ',"track_id":' || track_id || '}],"shuttle":{"x":' || x || ',"y":' || y || ',"confidence":' || confidence || '}}]}]}'
    when 1 then '{"results":[{"timeline":[{"time":' || tt || ',"player_boxes":[{"x1":1,"y1":1,"x2":' || x || ',"y2":' || y || ',"conf":' || confidence || '}],"shuttle_x":' || x || ',"shuttle_y":' || y || ',"shuttle_conf":"' || confidence || '"}]}]}'
    when 2 then '{"clips":[{"index":9},{"index":1,"shuttle":[[' || x || ',' || y || ']],"players":[{"sec":' || tt || ',"detections":[{"x":' || x || ',"y":' || y || ',"w":0.5,"h":0.25}]}]}]}'
-   else '{"rallies":[{"frames":[{"t":"bad","people":[{"x":"oops"}],"poses":[{"keypoints":[[' || x || ',' || y || ',' || confidence || '],{"x":0.5,"y":0.25}]}],"racquets":[[' || x || ',' || y || ',0.9,0.9,' || confidence || ']],"racket_candidates":[[0.1,0.1,0.2,0.2,0.01]]}' end"""
+   else '{"rallies":[{"frames":[{"t":"bad","people":[{"x":"oops"}],"poses":' || case when pid % 8 = 7 then '[{"x":' || x || ',"y":' || y || ',"conf":' || confidence || '},{"x":0.5,"y":0.25}]' else '[{"keypoints":[[' || x || ',' || y || ',' || confidence || '],{"x":0.5,"y":0.25}]}]' end || ',"racquets":[[' || x || ',' || y || ',0.9,0.9,' || confidence || ']],"racket_candidates":[[0.1,0.1,0.2,0.2,0.01]]}' end"""
 _PAYLOAD = _PAYLOAD.replace("0.2,0.01]]}' end", "0.2,0.01]]}]}]}' end")
 
 

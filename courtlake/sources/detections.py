@@ -21,6 +21,16 @@ def items(v: Column, *names: str) -> Column:
     return F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists])
 
 
+def people_of(v: Column, *names: str) -> Column:
+    """``items``, but a bare list of keypoints is one person."""
+    def people(name: str) -> Column:
+        found, first = F.try_variant_get(v, f"$.{name}", MANY), f"$.{name}[0]"
+        bare = F.try_variant_get(v, f"{first}.x", "variant").isNotNull() & F.try_variant_get(v, f"{first}.y", "variant").isNotNull()
+        return F.when(F.size(found) > 0, F.when(bare, F.array(F.try_variant_get(v, f"$.{name}", "variant"))).otherwise(found))
+
+    return F.coalesce(*map(people, names))
+
+
 def match_by_index(rallies: DataFrame, payload: DataFrame, index_col: str = "raw_index", key: str = "job_id") -> DataFrame:
     """JOIN-1: a payload row naming the rally's index, else the one at its position. ``rallies`` is numbered from
     1; ``payload`` carries pos from 0."""
@@ -101,7 +111,7 @@ def canonicalize_detections(raw: DataFrame, rallies: DataFrame, min_box_conf: fl
         *key, "frame_no", _abs_t(f).alias("t"), _strong(items(f, "boxes", "players", "detections"), min_box_conf, max_boxes).alias("b"))
     players = framed.drop("f").unionByName(tracked).select(*key, "frame_no", "t", F.posexplode("b").alias("box_no", "x")).select(*key, "frame_no", "t", "box_no", "x.*")
 
-    raw_people = items(f, "poses", "pose_tracks", "keypoints")
+    raw_people = people_of(f, "poses", "pose_tracks", "keypoints")
     people = framed.select(*key, "frame_no", "t", "b", F.posexplode(raw_people if max_people is None else F.slice(raw_people, 1, max_people)).alias("person_no", "p"))
     pts = F.filter(F.transform(F.coalesce(items(F.col("p"), "keypoints"), F.try_variant_get("p", "$", MANY)), point), lambda q: q.isNotNull())
     people = people.withColumn("keypoints", pts).filter(F.size("keypoints") > 0)
