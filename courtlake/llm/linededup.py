@@ -1,10 +1,14 @@
-"""Repeated passages, by content-defined chunks of lines and by windows of words.
-
-``dedup_passages`` is the whole job. Its anchors are the chunks of ``dedup_lines`` and windows of ``WINDOW`` words, chosen as
-the least hash of every ``SURE - WINDOW + 1`` neighbouring ones (winnowing): two places that share ``SURE`` words share an
-anchor, whatever lines or sentences they stand in. An anchor that stood before is compared with its first place word by
-word, extended to both sides as far as the words agree, and goes; the first place stays. Every word that goes is thus
-held by an earlier place. Words are what white space parts; the white space itself is not compared.
+"""Repeated passages, by content-defined chunks of lines.
+
+``dedup_passages`` is the whole job. Lines, their sentences and, within these, places that the words choose (the least
+hash of every ``NEAR`` neighbouring words) are its units, so that a unit holds ``NEAR`` words at most and is cut alike
+wherever it stands. A rolling hash over the hashes of two neighbouring units chooses where a chunk starts: the edge of
+least hash among those of every ``WITHIN`` neighbouring words. A chunk is two units or more and ``LEAST_WORDS`` words at
+least. Two places that share ``SURE`` words share a whole chunk, however they lie in lines or sentences: ``NEAR`` words
+at either end may be cut otherwise, any ``WITHIN`` words between hold an edge, and a chunk ends ``LEAST_WORDS + NEAR - 1``
+words behind it at most. A chunk that stood before is compared with its first place word by word, along with ``REACH``
+words to both sides; every stretch of ``LEAST_WORDS`` equal words or more goes, the first place stays. Every word that
+goes is thus held by an earlier place. Words are what white space parts; the white space itself is not compared.
 
 ``dedup_lines`` is the step by chunks alone:
 
@@ -21,6 +25,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +38,12 @@ from .common import stored
 
 LONG_LINE = 300      # characters from which a line counts as its sentences
 LEAST_UNITS, MOST_UNITS, LEAST_WORDS = 2, 12, 12
-WINDOW, SURE = 16, 50     # words of a window; words from which a repeat is found wherever it stands
-REACH = SURE - WINDOW + 1  # an anchor is extended so far at least; behind that, the next one stands
+NEAR, SURE = 4, 51        # most words of a unit; words from which a repeat is found wherever it stands
+WITHIN = SURE - LEAST_WORDS - 3 * NEAR + 3     # neighbouring words of which one starts a chunk
+REACH = WITHIN + 2 * NEAR                      # words beside a chunk that hold no other chunk of the same passage at most
 BLOCK = 32                # words of the pieces in which first places are sent
-_PLACES = 1 << 24         # places of windows that are told apart at once
+STRIDE = 256              # chunks of one shift are compared together as far as they start in one stretch of so many words
+GROUP = 1 << 20           # words of texts that are cut in one go
 _ROLL, _MASK = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
 
 
@@ -154,107 +162,131 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 _WORD = re.compile(r"\S+")
+_ENOUGH = b"\1" * LEAST_WORDS
+_MARKS = (".", "!", "?", "。")
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    keys = keys ^ (keys >> np.uint64(31))
+    keys *= np.uint64(0xBF58476D1CE4E5B9)
+    return keys ^ (keys >> np.uint64(29))
 
 
-def _least(keys: np.ndarray, reach: int) -> np.ndarray:
-    """Least of every ``reach`` neighbouring keys, by doubling."""
+def _over(keys: np.ndarray, reach: int, best) -> np.ndarray:
+    """Least or greatest of every ``reach`` neighbouring keys, by doubling."""
     width = 1
     while 2 * width <= reach:
-        keys = np.minimum(keys[:-width], keys[width:])
+        keys = best(keys[:-width], keys[width:])
         width *= 2
-    return np.minimum(keys[:len(keys) - (reach - width)], keys[reach - width:])
-
-
-def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the chosen windows."""
-    n = len(words) - WINDOW + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    grams, width, roll = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), 1, _ROLL
+    return best(keys[:len(keys) - (reach - width)], keys[reach - width:]) if width < reach else keys
+
+
+def _least_in_reach(keys: np.ndarray, reach: int, real: np.ndarray) -> np.ndarray:
+    """Which keys are the least of some ``reach`` neighbouring ones of one text (``real``; of all of a shorter text); keys of ``_MASK`` never are."""
+    whole = real.copy()
+    whole[:-(reach - 1)] &= real[reach - 1:]                           # texts lie further apart than they reach
+    whole[1:] |= real[1:] & ~real[:-1]
+    whole[0] = real[0]
+    least = _over(np.concatenate((keys, np.full(reach - 1, _MASK, np.uint64))), reach, np.minimum)
+    least[~whole] = 0
+    most = _over(np.concatenate((np.zeros(reach - 1, np.uint64), least)), reach, np.maximum)      # over the windows that hold a key
+    return (most == keys) & (keys != np.uint64(_MASK))
+
+
+def cut_chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of all texts: number of the text, first word, number of words, hash."""
+    none = np.empty(0, np.int64)
+    words, ends_line, ends_text = [], [], []
+    for text in texts:
+        for line in text.split("\n"):
+            words += line.split()
+            ends_line.append(len(words))
+        ends_text.append(len(words))
+    if not words:
+        return none, none, none, none
+    n, sizes = len(words), np.diff(np.array([0, *ends_text], np.int64))
+    of = np.repeat(np.arange(len(texts)), sizes)                       # each text is followed by words that choose nothing
+    at = np.arange(n) + of * WITHIN
+    total = n + len(texts) * WITHIN
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    padded = np.full(total, _MASK, np.uint64)
+    real = np.zeros(total, bool)
+    real[at] = True
+    padded[at] = _mixed(hashes) >> np.uint64(1)
+    last = _least_in_reach(padded, NEAR, real)[at]                           # words that end a unit
+    last |= np.fromiter(map(str.endswith, words, repeat(_MARKS)), bool, n)
+    last[np.array([e - 1 for e in ends_line if e], np.int64)] = True
+    edges = np.concatenate(([0], np.flatnonzero(last) + 1))            # units lie between neighbouring edges
     with np.errstate(over="ignore"):
-        while width < WINDOW:
-            grams = grams[:-width] * np.uint64(roll) + grams[width:]
-            width, roll = 2 * width, roll * roll & _MASK
-        grams ^= grams >> np.uint64(31)
-        grams *= np.uint64(0xBF58476D1CE4E5B9)
-        grams ^= grams >> np.uint64(29)
-    reach = min(REACH, n)
-    at = []
-    for a in range(0, n - reach + 1, _PLACES // 2):                 # one round but for texts of millions of words
-        part = grams[a:a + _PLACES // 2 + reach - 1]
-        places = np.uint64(_PLACES - 1) - np.arange(len(part), dtype=np.uint64)          # backwards: the last of equal ones
-        least = _least(part & np.uint64(_MASK ^ (_PLACES - 1)) | places, reach)
-        least = least[np.concatenate(([True], least[1:] != least[:-1]))]
-        at.append(a + (_PLACES - 1) - (least & np.uint64(_PLACES - 1)).astype(np.int64))
-    at = np.unique(np.concatenate(at)) if len(at) > 1 else at[0]
-    return at, grams[at].view(np.int64)
-
-
-def anchors(text: str) -> tuple[list[int], list[int], list[int], np.ndarray, np.ndarray]:
-    """Hash, first word and number of words of each chunk; places and hashes of the windows."""
-    parts = units(text)
-    own = [p.split() for p in parts]
-    ends = np.concatenate(([0], np.cumsum([len(w) for w in own]))).tolist()
-    hs, firsts, sizes = [], [], []
-    for a, b in chunks(parts):
-        if ends[b] - ends[a] >= LEAST_WORDS and sum(map(bool, own[a:b])) >= LEAST_UNITS:
-            hs.append(_hash(" ".join([w for u in own[a:b] for w in u])))
-            firsts.append(ends[a])
-            sizes.append(ends[b] - ends[a])
-    return hs, firsts, sizes, *windows([w for u in own for w in u])
-
-
-class _First:
-    """The words of a first place, as far as they were sent, beside those of a text that is ``shift`` words further on."""
-
-    def __init__(self, pieces: dict[int, list[str]], words: list[str], shift: int):
-        self.pieces, self.words, self.shift = pieces, words, shift
-
-    def _piece(self, i: int) -> tuple[list[str], int]:
-        block, off = divmod(i - self.shift, BLOCK)
-        return self.pieces.get(block, ()) if block >= 0 else (), off
-
-    def after(self, i: int, to: int) -> int:
-        """Up to where the words from ``i`` on agree."""
-        while i < to:
-            piece, off = self._piece(i)
-            theirs, ours = piece[off:off + to - i], self.words[i:min(i + BLOCK - off, to)]
-            if theirs != ours:
-                return i + next((k for k, (x, y) in enumerate(zip(theirs, ours)) if x != y), min(len(theirs), len(ours)))
-            i += len(ours)
-        return i
-
-    def before(self, i: int) -> int:
-        """Down to where the words before ``i`` agree."""
-        while i > 0:
-            piece, off = self._piece(i - 1)
-            ours = self.words[max(i - off - 1, 0):i]
-            theirs = piece[off + 1 - len(ours):off + 1]
-            if theirs != ours:
-                if len(theirs) < len(ours):
-                    return i
-                return i - next(k for k, (x, y) in enumerate(zip(reversed(theirs), reversed(ours))) if x != y)
-            i -= len(ours)
-        return i
+        power = np.full(n + 1, _ROLL, np.uint64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        back = np.full(n + 1, pow(_ROLL, -1, _MASK + 1), np.uint64)
+        back[0] = 1
+        np.multiply.accumulate(back, out=back)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1])))
+        unit = _mixed((sums[edges[1:]] - sums[edges[:-1]]) * back[edges[:-1]])
+        rolled = _mixed(unit[:-1] * np.uint64(_ROLL) + unit[1:]) >> np.uint64(1)
+    ends = np.array(ends_text, np.int64)
+    within = edges[2:] <= ends[of[edges[:-2]]]                         # both units lie in one text
+    padded[:] = _MASK
+    padded[at[edges[:-2][within]]] = rolled[within]
+    starts = np.flatnonzero(_least_in_reach(padded, WITHIN, real)[at])
+    k = np.searchsorted(edges, starts)
+    stop = np.maximum(k + LEAST_UNITS, np.searchsorted(edges, starts + LEAST_WORDS))
+    fits = stop < len(edges)
+    starts, stop = starts[fits], edges[stop[fits]]
+    fits = stop <= ends[of[starts]]           # a chunk ends in its own text
+    starts, stop = starts[fits], stop[fits]
+    with np.errstate(over="ignore"):
+        h = _mixed((sums[stop] - sums[starts]) * back[starts])
+    by = np.lexsort((starts, h, of[starts]))                           # of equal chunks that overlap ("a a a a ..."), one in its own length
+    h, starts, size = h[by], starts[by], (stop - starts)[by]
+    chain = np.concatenate(([True], (h[1:] != h[:-1]) | (starts[1:] - starts[:-1] >= size[1:]) | (of[starts[1:]] != of[starts[:-1]])))[:len(h)]
+    step = (starts - starts[np.maximum.accumulate(np.where(chain, np.arange(len(h)), 0))]) // np.maximum(size, 1)
+    one = chain | np.concatenate(([True], step[1:] != step[:-1]))[:len(h)]
+    h, starts, size = h[one], starts[one], size[one]
+    return of[starts], starts - np.concatenate(([0], ends))[of[starts]], size, h.view(np.int64)
+
+
+def _grouped(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts that can hold a chunk, in groups of some ``GROUP`` words."""
+    at, group, size = [], [], 0
+    for k, text in enumerate(texts):
+        if text:
+            at.append(k)
+            group.append(text)
+            size += len(text)
+            if size >= 6 * GROUP:
+                yield at, group
+                at, group, size = [], [], 0
+    if at:
+        yield at, group
 
 
 def _take_out(text: str, own: list[tuple], pieces: list[tuple], me: tuple) -> tuple[str, int]:
-    """``text`` without what its anchors (at, n, sat, sid, srow) repeat of the pieces (sid, srow, b, piece), and how many passages went."""
+    """``text`` without what its stretches (lo, hi, shift, sid, srow) repeat of the pieces (sid, srow, b, piece), and how many passages went."""
     words = text.split()
-    first, gone, done, runs = {}, bytearray(len(words)), {}, {}
+    first, gone = {}, bytearray(len(words))
     for sid, srow, b, piece in pieces:
-        first.setdefault((sid, srow), {})[b] = piece.split(" ")
-    for at, n, sat, sid, srow in sorted(own, key=lambda m: m[0]):
-        shift, where = at - sat, (sid, srow)
-        if at + n <= done.get(run := (where, shift), 0):
-            continue                                        # the run of an anchor before holds it
-        if run not in runs:
-            runs[run] = _First(first.get(where, {}), words, shift)
-        if at + n > len(words) or where == me and shift < n or runs[run].after(at, at + n) < at + n:
-            continue                                        # it overlaps its own first place, or only the hashes are equal
-        a, b = runs[run].before(at), runs[run].after(at + n, len(words))
-        gone[a:b] = b"\1" * (b - a)
-        done[run] = b
+        first[sid, srow, b] = piece.split(" ")
+    for lo, hi, shift, sid, srow in own:
+        if (sid, srow) == me and shift < LEAST_WORDS:
+            continue                                        # it overlaps its own first place
+        a, z = max(lo - REACH, shift, 0), min(hi + REACH, len(words))
+        theirs = []
+        for b in range((a - shift) // BLOCK, (z - shift - 1) // BLOCK + 1):
+            piece = first.get((sid, srow, b), ())
+            theirs += piece
+            theirs += [None] * (BLOCK - len(piece))
+        skip = (a - shift) % BLOCK
+        same = bytes(map(eq, words[a:z], theirs[skip:skip + z - a]))
+        i = same.find(_ENOUGH)
+        while i >= 0:
+            j = same.find(b"\0", i)
+            j = len(same) if j < 0 else j
+            gone[a + i:a + j] = b"\1" * (j - i)
+            i = same.find(_ENOUGH, j)
     if 1 not in gone:
         return text, 0
     if 0 not in gone:
@@ -291,56 +323,47 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, hs, at, size = [], [], [], []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                if text:
-                    h, firsts, sizes, places, grams = anchors(text)
-                    of.append(np.full(len(h) + len(grams), k))
-                    hs += [np.array(h, np.int64), grams]
-                    at += [np.array(firsts, np.int64), places]
-                    size += [np.array(sizes, np.int64), np.full(len(grams), WINDOW)]
-            of, hs, at, size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (of, hs, at, size))
-            of = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "id", "row", "at", "n"])
+            for held, texts in _grouped(batch.column(2).to_pylist()):
+                of, at, n, h = cut_chunks(texts)
+                rows = pa.array(np.array(held, np.int64)[of])
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "id", "row", "at", "n"])
 
-    places = stored(docs.select(id_col, row, F.col(text_col).cast("string")).mapInArrow(cut, f"h long, id {kind}, row long, at int, n int"), "anchors")
+    places = stored(docs.select(id_col, row, F.col(text_col).cast("string")).mapInArrow(cut, f"h long, id {kind}, row long, at int, n int"), "chunks")
     often = stored(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select(F.col("h").alias("h2")), "often")      # hashes alone, as most places are single
     places = stored(places.join(often, F.col("h") == F.col("h2"), "left_semi"), "repeated")
-    here = F.struct("id", "row", "at", "n")
-    twice = stored(places.groupBy("h").agg(F.min(here).alias("first")).select(F.col("h").alias("h2"), "first"), "first")      # a join of its own, so that Spark can split a common hash
-    mark = F.struct("at", "n", F.col("first.id").alias("sid"), F.col("first.row").alias("srow"), F.col("first.at").alias("sat"), (~here.eqNullSafe(F.col("first"))).alias("drop"))
-    found = places.join(twice, F.col("h") == F.col("h2")).groupBy(F.col("id").alias("_id"), F.col("row").alias("_r")).agg(F.collect_set(mark).alias(marks))
+    here = F.struct("id", "row", "at")
+    twice = stored(places.groupBy("h").agg(F.min(here).alias("first")).select(F.col("h").alias("h2"), F.col("first.id").alias("sid"), F.col("first.row").alias("srow"), F.col("first.at").alias("sat")), "first")      # a join of its own, so that Spark can split a common hash
+    goes = ~(F.col("id").eqNullSafe(F.col("sid")) & (F.col("row") == F.col("srow")) & (F.col("at") == F.col("sat")))
+    pairs = places.join(twice, F.col("h") == F.col("h2")).withColumns({"shift": F.col("at") - F.col("sat"), "part": F.floor(F.col("at") / STRIDE).cast("int"), "drop": goes})
+    runs = stored(pairs.groupBy("id", "row", "sid", "srow", "shift", "part", "drop").agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("n")).alias("hi")), "runs")
+    found = runs.groupBy(F.col("id").alias("_id"), F.col("row").alias("_r")).agg(F.collect_list(F.struct("lo", "hi", "shift", "sid", "srow", "drop")).alias(marks))
     marked = stored(docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(row) == F.col("_r")), "left").select(*columns, row, marks), "marked")
 
     def first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, bs, out = [], [], []
-            for k, (text, own) in enumerate(zip(batch.column(2).to_pylist(), _rows_of(batch.column(3), "at", "n"))):
-                words, (at, n) = text.split(), np.array(own, np.int64).T
-                ends = np.zeros(len(words) // BLOCK + 2, np.int64)
-                np.add.at(ends, np.maximum(at - REACH, 0) // BLOCK, 1)
-                np.add.at(ends, (np.minimum(at + n + REACH, len(words)) - 1) // BLOCK + 1, -1)
-                for b in np.flatnonzero(np.cumsum(ends)).tolist():
+            for k, (text, own) in enumerate(zip(batch.column(2).to_pylist(), _rows_of(batch.column(3), "lo", "hi"))):
+                words = text.split()
+                for b in sorted({b for lo, hi in own for b in range(max(lo - REACH, 0) // BLOCK, (min(hi + REACH, len(words)) - 1) // BLOCK + 1)}):
                     of.append(k)
                     bs.append(b)
                     out.append(" ".join(words[b * BLOCK:(b + 1) * BLOCK]))
             of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(bs, pa.int32()), pa.array(out, pa.string())], ["sid", "srow", "b", "piece"])
 
-    goes, stays = F.filter(marks, lambda m: m["drop"]), F.filter(marks, lambda m: ~m["drop"])
+    going, stays = F.filter(marks, lambda m: m["drop"]), F.filter(marks, lambda m: ~m["drop"])
     some = lambda a: F.coalesce(F.size(a) > 0, F.lit(False))
     first = marked.where(some(stays)).select(id_col, row, F.col(text_col).cast("string"), stays.alias(marks)).mapInArrow(first_places, f"sid {kind}, srow long, b int, piece string").dropDuplicates(["sid", "srow", "b"])
-    wanted = lambda m: F.transform(F.sequence(F.floor(F.greatest(m["sat"] - REACH, F.lit(0)) / BLOCK).cast("int"), F.floor((m["sat"] + m["n"] + REACH - 1) / BLOCK).cast("int")), lambda b: F.struct(m["sid"].alias("sid"), m["srow"].alias("srow"), b.alias("b")))
-    asked = marked.where(some(goes)).select(F.col(id_col).alias("_id"), F.col(row).alias("_r"), F.explode(F.array_distinct(F.flatten(F.transform(goes, wanted)))).alias("k"))
-    asked = asked.select("_id", "_r", F.col("k.sid").alias("_s"), F.col("k.srow").alias("_sr"), F.col("k.b").alias("_b"))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    asked = runs.where("drop").select(F.col("id").alias("_id"), F.col("row").alias("_r"), F.col("sid").alias("_s"), F.col("srow").alias("_sr"), F.explode(F.sequence(block(F.greatest(F.col("lo") - F.col("shift") - REACH, F.lit(0))), block(F.col("hi") - F.col("shift") + (REACH - 1)))).alias("_b"))
     pieces = asked.join(first, F.col("_s").eqNullSafe(F.col("sid")) & (F.col("_sr") == F.col("srow")) & (F.col("_b") == F.col("b"))).groupBy("_id", "_r").agg(F.collect_set(F.struct("sid", "srow", "b", "piece")).alias(found_pieces))
-    ready = marked.where(some(goes)).join(pieces, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(row) == F.col("_r")), "left")
+    ready = marked.where(some(going)).join(pieces, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(row) == F.col("_r")), "left")
     where, width = columns.index(text_col), len(columns)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = batch.column(where).to_pylist(), []
-            mine = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), _rows_of(batch.column(width + 2), "at", "n", "sat", "sid", "srow"), _rows_of(batch.column(width + 3), "sid", "srow", "b", "piece"))
+            mine = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), _rows_of(batch.column(width + 2), "lo", "hi", "shift", "sid", "srow"), _rows_of(batch.column(width + 3), "sid", "srow", "b", "piece"))
             for k, (i, r, own, got) in enumerate(mine):
                 texts[k], n = _take_out(texts[k], own, got, (i, r))
                 counts.append(n)
@@ -349,5 +372,5 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     given = [F.col(c).cast("string") if c == text_col else F.col(c) for c in columns]
     schema = docs.select(*given).withColumn(removed, F.lit(0)).schema
-    changed = ready.select(*given, F.col(id_col).alias("_own"), row, goes.alias(marks), found_pieces).mapInArrow(without, schema)
-    return marked.where(~some(goes)).select(*given, F.lit(0).alias(removed)).unionByName(changed), removed
+    changed = ready.select(*given, F.col(id_col).alias("_own"), row, going.alias(marks), found_pieces).mapInArrow(without, schema)
+    return marked.where(~some(going)).select(*given, F.lit(0).alias(removed)).unionByName(changed), removed

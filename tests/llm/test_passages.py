@@ -1,5 +1,6 @@
 """Repeated passages of some fifty words and more, wherever they stand."""
 import random
+from collections import Counter
 
 import pytest
 
@@ -44,23 +45,55 @@ def test_corner_cases(spark):
     assert {w for r in got if r[1] == 5 for w in r[2].split()} == {"same"}
 
 
-def test_equal_hashes_of_unequal_windows_remove_nothing(spark, monkeypatch):
+def test_equal_hashes_of_unequal_chunks_remove_nothing(spark, monkeypatch):
     _, rows = _planted(9)
     rows = [r for r in rows if r[0] % 3 == 0]
-    real = linededup.windows
-    monkeypatch.setattr(linededup, "windows", lambda words: (real(words)[0], real(words)[1] % 3))
+    real = linededup.cut_chunks
+    monkeypatch.setattr(linededup, "cut_chunks", lambda texts: (*(got := real(texts))[:3], got[3] % 3))
     got = linededup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string, x string"))[0].collect()
     assert {(r.doc_id, r.text, r.n_removed) for r in got} == {(i, t, 0) for i, t, _ in rows}
 
 
-@pytest.mark.parametrize("n", [50, 51, 60])
-def test_two_places_of_enough_words_share_a_window(n):
+@pytest.mark.parametrize("n", [51, 52, 60, 100])
+def test_two_places_of_enough_words_share_a_chunk(n):
+    """The recall of repeats of ``SURE`` words and more is 1, on lines and sentences of any length."""
     rng = random.Random(n)
+    word = lambda: str(rng.random()) + rng.choice(["", "", "", ".", "\n", "?"])
     for _ in range(200):
-        same = [str(rng.random()) for _ in range(n)]
-        around = lambda: [str(rng.random()) for _ in range(rng.randint(0, 80))]
-        a, b = (set(linededup.windows(around() + same + around())[1].tolist()) for _ in range(2))
-        assert a & b
+        same = [word() for _ in range(n)]
+        around = lambda: [word() for _ in range(rng.randint(0, 80))]
+        of, _, _, h = linededup.cut_chunks([" ".join(around() + same + around()) for _ in range(2)])
+        assert set(h[of == 0].tolist()) & set(h[of == 1].tolist())
+
+
+def test_chunks_do_not_depend_on_the_texts_beside_them(texts):
+    texts = [t for t in texts if t]
+    of, at, n, h = linededup.cut_chunks(texts)
+    for k, text in enumerate(texts):
+        alone = linededup.cut_chunks([text])
+        assert [x.tolist() for x in (at[of == k], n[of == k], h[of == k])] == [x.tolist() for x in alone[1:]]
+        words = text.split()
+        assert all(a + m <= len(words) and m >= linededup.LEAST_WORDS for a, m in zip(alone[1].tolist(), alone[2].tolist()))
+
+
+def test_against_brute_force(spark, pairs):
+    """What goes stands at an earlier place; of stretches of ``SURE`` words and more, none is left twice."""
+    n = linededup.SURE
+    rows = [(i, t) for i, t in pairs if i is not None and i != 3 and t and t != " ".join(["same"] * 3000)]
+    got = {r.doc_id: r.text for r in linededup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))[0].collect()}
+    grams = lambda words, k: [tuple(words[a:a + k]) for a in range(len(words) - k + 1)]
+    seen, kept = set(), Counter()
+    for i, text in sorted(rows):
+        words, left = text.split(), got[i].split()
+        at = 0
+        for w in left:                                      # what stays, stays in its order
+            at = words.index(w, at) + 1
+        if not seen & set(grams(words, linededup.LEAST_WORDS)):
+            assert len(set(grams(words, linededup.LEAST_WORDS))) < len(grams(words, linededup.LEAST_WORDS)) or left == words
+        seen |= set(grams(words, linededup.LEAST_WORDS))
+        kept.update(set(grams(left, n)))
+    before = Counter(g for _, t in rows for g in set(grams(t.split(), n)))
+    assert max(before.values()) > 10 and not [g for g, k in kept.items() if k > 1]
 
 
 def test_an_empty_table(no_docs):
