@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cache
 from operator import eq
 
 import numpy as np
@@ -163,7 +163,38 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 _WORD = re.compile(r"\S+")
 _ENOUGH = b"\1" * LEAST_WORDS
-_MARKS = (".", "!", "?", "。")
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")       # beyond ASCII, what str.split parts words by
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_MARK, _WIDE_MARK = np.isin(np.arange(256), list(b".!?")), "。".encode()
+_BYTE = np.fromiter((xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)), np.uint64, 256)
+_SLICE = 1 << 20          # bytes of words that are hashed in one go
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+@cache
+def _slice_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_ROLL, _SLICE), _powers(pow(_ROLL, -1, _MASK + 1), _SLICE)
+
+
+def _word_hashes(raw: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """A polynomial hash of the bytes of each word."""
+    out, i = np.empty(len(first), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while i < len(first):
+            j = max(int(np.searchsorted(behind, first[i] + _SLICE, "right")), i + 1)
+            a, b = first[i], behind[j - 1]
+            up, down = _slice_powers() if b - a <= _SLICE else (_powers(_ROLL, int(b - a)), None)      # one word of more bytes than a slice
+            terms = _BYTE[raw[a:b]] * up[:b - a]
+            terms[_SPACE[raw[a:b]]] = 0
+            sums = np.add.reduceat(terms, first[i:j] - a)
+            out[i:j] = _mixed(sums * down[first[i:j] - a] if down is not None else sums)
+            i = j
+    return out
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
@@ -195,40 +226,36 @@ def _least_in_reach(keys: np.ndarray, reach: int, real: np.ndarray) -> np.ndarra
 
 def cut_chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Chunks of all texts: number of the text, first word, number of words, hash."""
-    none = np.empty(0, np.int64)
-    words, ends_line, ends_text = [], [], []
-    for text in texts:
-        for line in text.split("\n"):
-            words += line.split()
-            ends_line.append(len(words))
-        ends_text.append(len(words))
-    if not words:
+    own = [(t if t.isascii() else _WIDE_SPACE.sub(" ", t)).encode() + b"\n" for t in texts]
+    raw = np.frombuffer(b"".join(own), np.uint8)
+    space = np.concatenate(([True], _SPACE[raw]))                      # one further to the right
+    first, behind = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])      # bytes of the words
+    n, none = len(first), np.empty(0, np.int64)
+    if not n:
         return none, none, none, none
-    n, sizes = len(words), np.diff(np.array([0, *ends_text], np.int64))
+    ends_text = np.searchsorted(first, np.cumsum([len(t) for t in own]))
+    sizes = np.diff(ends_text, prepend=0)
     of = np.repeat(np.arange(len(texts)), sizes)                       # each text is followed by words that choose nothing
     at = np.arange(n) + of * WITHIN
     total = n + len(texts) * WITHIN
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    hashes = _word_hashes(raw, first, behind)
     padded = np.full(total, _MASK, np.uint64)
     real = np.zeros(total, bool)
     real[at] = True
     padded[at] = _mixed(hashes) >> np.uint64(1)
-    last = _least_in_reach(padded, NEAR, real)[at]                           # words that end a unit
-    last |= np.fromiter(map(str.endswith, words, repeat(_MARKS)), bool, n)
-    last[np.array([e - 1 for e in ends_line if e], np.int64)] = True
+    last = _least_in_reach(padded, NEAR, real)[at]                     # words that end a unit
+    last |= _MARK[raw[behind - 1]]
+    if (wide := np.flatnonzero(raw[behind - 1] == _WIDE_MARK[2])).size:
+        last[wide] |= (raw[np.maximum(behind[wide] - 3, 0)] == _WIDE_MARK[0]) & (raw[np.maximum(behind[wide] - 2, 0)] == _WIDE_MARK[1])
+    lines = np.searchsorted(first, np.flatnonzero(raw == 10))
+    last[lines[lines > 0] - 1] = True
     edges = np.concatenate(([0], np.flatnonzero(last) + 1))            # units lie between neighbouring edges
     with np.errstate(over="ignore"):
-        power = np.full(n + 1, _ROLL, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        back = np.full(n + 1, pow(_ROLL, -1, _MASK + 1), np.uint64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
+        power, back = _powers(_ROLL, n + 1), _powers(pow(_ROLL, -1, _MASK + 1), n + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1])))
         unit = _mixed((sums[edges[1:]] - sums[edges[:-1]]) * back[edges[:-1]])
         rolled = _mixed(unit[:-1] * np.uint64(_ROLL) + unit[1:]) >> np.uint64(1)
-    ends = np.array(ends_text, np.int64)
-    within = edges[2:] <= ends[of[edges[:-2]]]                         # both units lie in one text
+    within = edges[2:] <= ends_text[of[edges[:-2]]]                         # both units lie in one text
     padded[:] = _MASK
     padded[at[edges[:-2][within]]] = rolled[within]
     starts = np.flatnonzero(_least_in_reach(padded, WITHIN, real)[at])
@@ -236,7 +263,7 @@ def cut_chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     stop = np.maximum(k + LEAST_UNITS, np.searchsorted(edges, starts + LEAST_WORDS))
     fits = stop < len(edges)
     starts, stop = starts[fits], edges[stop[fits]]
-    fits = stop <= ends[of[starts]]           # a chunk ends in its own text
+    fits = stop <= ends_text[of[starts]]           # a chunk ends in its own text
     starts, stop = starts[fits], stop[fits]
     with np.errstate(over="ignore"):
         h = _mixed((sums[stop] - sums[starts]) * back[starts])
@@ -246,7 +273,7 @@ def cut_chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     step = (starts - starts[np.maximum.accumulate(np.where(chain, np.arange(len(h)), 0))]) // np.maximum(size, 1)
     one = chain | np.concatenate(([True], step[1:] != step[:-1]))[:len(h)]
     h, starts, size = h[one], starts[one], size[one]
-    return of[starts], starts - np.concatenate(([0], ends))[of[starts]], size, h.view(np.int64)
+    return of[starts], starts - np.concatenate(([0], ends_text))[of[starts]], size, h.view(np.int64)
 
 
 def _grouped(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:

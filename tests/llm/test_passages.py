@@ -67,12 +67,14 @@ def test_two_places_of_enough_words_share_a_chunk(n):
 
 
 def test_chunks_do_not_depend_on_the_texts_beside_them(texts):
-    texts = [t for t in texts if t]
+    texts = [t for t in texts if t] + ["\u3000 \xa0".join(f"k{i % 40}\u2003é\x1c中。" for i in range(90)), "z" * 3000000 + " a b c" * 9]
     of, at, n, h = linededup.cut_chunks(texts)
     for k, text in enumerate(texts):
         alone = linededup.cut_chunks([text])
         assert [x.tolist() for x in (at[of == k], n[of == k], h[of == k])] == [x.tolist() for x in alone[1:]]
-        words = text.split()
+        words, same = text.split(), {}
+        for a, m, x in zip(*(y.tolist() for y in alone[1:])):
+            assert same.setdefault(x, words[a:a + m]) == words[a:a + m]        # one hash, one run of words as str.split parts them
         assert all(a + m <= len(words) and m >= linededup.LEAST_WORDS for a, m in zip(alone[1].tolist(), alone[2].tolist()))
 
 
