@@ -2,6 +2,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +28,40 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER_TABLE).split() if text else []
 
 
+_stored: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: read again by later steps, and safe against lost executors."""
     path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if (paths := _stored.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The folders of all tables that are ``stored`` inside."""
+    paths: list[str] = []
+    before = _stored.set(paths)
+    try:
+        yield paths
+    finally:
+        _stored.reset(before)
+
+
+def drop_stored(spark: SparkSession, paths: list[str], needed: DataFrame) -> list[str]:
+    """Remove stored tables that ``needed`` does not read; those that it reads are returned."""
+    reads = "\n".join(needed.inputFiles()) if paths else ""
+    kept = [p for p in paths if p.rsplit("/", 1)[-1] + "/" in reads]
+    for path in paths:
+        if path not in kept:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return kept
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -210,6 +210,25 @@ def test_pipeline_and_registered_queries(spark, sf_dir):
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
+def test_the_pipeline_keeps_the_tables_of_one_stage(spark, sf_dir, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from courtlake.llm import common
+
+    monkeypatch.setattr(common, "scratch_dir", lambda spark, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    rows = corpus_pipeline.run(spark, sf_dir)
+    names = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert "decontamination" in names and not names & {"quality_rules", "line_dedup", "near_duplicates", "chunks", "marked", "signed"}
+    assert rows.count() > 0
+
+
+def test_every_stage_takes_odd_rows(docs):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(docs.sparkSession, docs, "odd")
+        assert out.columns == docs.columns and out.count() <= docs.count(), name
+
+
 def test_every_stage_takes_an_empty_table(spark, sf_dir):
     import corpus_pipeline
 
